@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entailis.llm import bpe, sharding, urls, vafile, warc
+from entailis.llm import bpe, decontaminate, langid, sharding, urls, vafile, warc
 from entailis.llm.common import table
 
 SHARDS = 40
@@ -35,6 +35,22 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = docs.select("doc_id", langid.held_out().alias("held_out"), langid.language(docs, langid.train(langid.training_rows(docs))).alias("x"))
+    mixture = F.array_join(F.zip_with("x.langs", "x.shares", lambda k, s: F.concat(k, F.lit(":"), F.round(s, 3).cast("string"))), ",")
+    return found.select("doc_id", "held_out", "x.lang_pred", "x.score", mixture.alias("mixture"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).alias("x")).select("doc_id", "x", decontaminate.n_hit("x").alias("n_hit"))
+    return found.select(
+        "doc_id", F.col("x.n_words").alias("n_words"), "n_hit", F.size("x.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("x.items", ",").cast("binary"), 256).alias("items_sha256"), decontaminate.is_contaminated(F.col("x.n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """doc_id, number of tokens, and digests of the ids and of the decoded text."""
     done = bpe.encode_decode(docs, TOKENIZER)
@@ -61,6 +77,25 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
+OP8_SQL = """
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+iw AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 13) AS m, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS phrase
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM iw WHERE len(w) > 0)),
+pos AS (
+  SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw), (SELECT DISTINCT m FROM win) WHERE i + m - 1 <= len(w)),
+hit AS (SELECT doc_id, i, pos.m AS m, item FROM pos JOIN win USING (m, phrase)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -73,8 +108,8 @@ FROM m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op4_urls": op4_urls, "op7_bpe": op7_bpe, "op10_warc": op10_warc}
+    return {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op4_urls": op4_urls, "op6_langid": op6_langid, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op10_warc": OP10_SQL}
+    return {"op3_topk": OP3_SQL, "op8_decontaminate": OP8_SQL, "op10_warc": OP10_SQL}
