@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entailis.llm import bpe, decontaminate, langid, sharding, urls, vafile, warc
+from entailis.llm import bpe, decontaminate, langid, linededup, neardup, sharding, urls, vafile, warc
 from entailis.llm.common import table
 
 SHARDS = 40
@@ -35,6 +35,10 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = docs.select("doc_id", langid.held_out().alias("held_out"), langid.language(docs, langid.train(langid.training_rows(docs))).alias("x"))
@@ -61,6 +65,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archives(spark, warc.archive_pages(table(spark, sf_dir, "pages")))
     return read.select(F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -77,6 +85,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
+OP5_SQL = """
+WITH l AS (
+  SELECT doc_id, source, i, s[i] AS line FROM (
+    SELECT doc_id, source, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS s FROM documents))),
+b AS (SELECT line FROM l WHERE trim(regexp_replace(line, '\\s+', '', 'g')) <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+f AS (SELECT line, min(row(doc_id, i)) AS first FROM l SEMI JOIN b USING (line) GROUP BY line),
+k AS (SELECT l.*, f.first IS NOT NULL AND f.first <> row(l.doc_id, l.i) AS gone FROM l LEFT JOIN f USING (line))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text
+FROM k GROUP BY doc_id
+"""
+
 OP8_SQL = """
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
@@ -96,6 +116,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS doc_id, a AS o FROM sym UNION SELECT sym.b, r.o FROM r JOIN sym ON sym.a = r.doc_id),
+m AS (SELECT doc_id, min(o) AS o FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.o, w.doc_id) AS component_id, coalesce(m.o, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -108,8 +144,8 @@ FROM m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op4_urls": op4_urls, "op6_langid": op6_langid, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op10_warc": op10_warc}
+    return {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op4_urls": op4_urls, "op5_linededup": op5_linededup, "op6_langid": op6_langid, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op9_neardup": op9_neardup, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op8_decontaminate": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op3_topk": OP3_SQL, "op5_linededup": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_neardup": OP9_SQL, "op10_warc": OP10_SQL}
