@@ -1,23 +1,65 @@
-"""The training-data pipeline: stages over documents, each an operator of entailis.llm."""
+"""The training-data pipeline: five stages over documents, each an operator of entailis.llm.
+
+Every stage reads what its predecessor wrote as Parquet.  All but the last
+return the columns of documents; the last returns token digests.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from entailis.llm import decontaminate, langid, linededup, neardup, queries
+from entailis.llm.common import shared_dir, table
+
+#: A document stays if its main language holds this share of it.
+LEAST_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those in which no language holds LEAST_SHARE."""
+    model = langid.train(langid.training_rows(docs))
+    found = docs.withColumn("__found", langid.language(docs, model))
+    return found.where((F.col("__found.lang_pred") != langid.UNDETERMINED) & (F.col("__found.score") >= LEAST_SHARE)).select(*docs.columns)
 
-from entailis.llm import queries
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated cross-site lines out of the texts; every document stays."""
+    done = linededup.dedup_lines(docs)
+    size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.select(*(size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    copies = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents; others stay as they are."""
+    found = docs.withColumn("__found", decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+    bad = decontaminate.is_contaminated(F.col("__found.n_words"), decontaminate.n_hit("__found"))
+    return found.where(~bad).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each text that is left."""
+    """Token counts and digests of each text that is left."""
     return queries.token_digests(docs)
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("tokens", tokens)]
+
+#: Language identification, registers and merges have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The stages over the documents of sf_dir, each written to the shared folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entailis.llm import bpe, decontaminate, langid, linededup, neardup, sharding, urls, vafile, warc
+from entailis.llm import bpe, decontaminate, htmltext, langid, linededup, neardup, sharding, urls, vafile, warc
 from entailis.llm.common import table
 
 SHARDS = 40
@@ -27,6 +27,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op2_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    done = pages.select("page_id", "url", htmltext.main_text(pages).alias("text"))
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, 5)
 
@@ -144,7 +150,7 @@ FROM m
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op3_topk": op3_topk, "op4_urls": op4_urls, "op5_linededup": op5_linededup, "op6_langid": op6_langid, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op9_neardup": op9_neardup, "op10_warc": op10_warc}
+    return {"op1_sharding": op1_sharding, "op2_htmltext": op2_htmltext, "op3_topk": op3_topk, "op4_urls": op4_urls, "op5_linededup": op5_linededup, "op6_langid": op6_langid, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate, "op9_neardup": op9_neardup, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
