@@ -4,13 +4,16 @@ Headers (payload digest, length, record key) are shuffled by payload digest;
 of equal payloads the smallest key stays a response, the others become revisit
 records that refer to it.  Records are laid out by built-in string functions
 and written by Spark's own writer, whose commit protocol survives lost tasks;
-the record terminator is the writer's line separator.  Archives are read back
-from their bytes alone: lengths come from headers, digests are recomputed.
+the record terminator is the writer's line separator, and files are compressed.
+Archives are read back from their bytes alone, record by record: lengths come
+from headers, digests are recomputed.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -24,8 +27,8 @@ from entailis.llm.common import checkpoint, shared_dir
 CRLF = "\r\n"
 #: Payloads of fewer bytes are always stored: a revisit record would save nothing.
 LEAST_PAYLOAD = 100
-#: About so many bytes of payload go to one archive file, so that a file fits in a reader's memory.
-FILE_BYTES = 16 << 20
+#: Records of one archive file; a reader holds one record and the compressed file.
+FILE_RECORDS = 50_000
 #: Parts into which the rows of one digest are dealt in the join with its response.
 SALTS = 16
 DATE = "1970-01-01T00:00:00Z"
@@ -60,8 +63,8 @@ def plan_records(pages: DataFrame, key: str, url: str, html: str, least: int = L
     return joined.select("record_key", "url", "payload", "payload_digest", "payload_bytes", F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(again, F.col("refers_to")).alias("refers_to"))
 
 
-def write_archives(records: DataFrame, path: str, total_bytes: int) -> None:
-    """Write planned records as WARC/1.1 files under path, of about FILE_BYTES each."""
+def write_archives(records: DataFrame, path: str) -> None:
+    """Write planned records as compressed WARC/1.1 files under path."""
     c = F.col
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     keyed = lambda name, value: F.when(value.isNotNull(), line(name, value.cast("string"))).otherwise(F.lit(""))
@@ -84,25 +87,25 @@ def write_archives(records: DataFrame, path: str, total_bytes: int) -> None:
         line("Content-Length", F.octet_length("block").cast("string")),
         F.lit(CRLF),
     )
-    files = max(1, -(-total_bytes // FILE_BYTES))
-    spread = records.withColumn("block", block).select(F.concat(head, c("block")).alias("value"))
-    spread.repartition(files, F.xxhash64("value")).write.option("lineSep", CRLF * 2).text(path)
+    out = records.withColumn("block", block).select(F.concat(head, c("block")).alias("value")).write
+    out.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record; raises ValueError where the bytes are no WARC records."""
-    at = 0
-    while at < len(content):
-        end = content.find(b"\r\n\r\n", at)
-        if end < 0 or not content.startswith(b"WARC/1.", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in content[at:end].decode().split(CRLF)[1:])
-        start = end + 4
-        at = start + int(head["Content-Length"])
-        if content[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record does not end at byte {at}")
-        yield head, content[start:at]
-        at += 4
+    """(headers, block) of each record of a file, compressed or not; raises ValueError where the bytes are no WARC records."""
+    raw = io.BytesIO(content)
+    with io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw as file:
+        while line := file.readline():
+            if not line.startswith(b"WARC/1."):
+                raise ValueError(f"no WARC record: {line[:40]!r}")
+            head = {}
+            while (line := file.readline()) not in (b"\r\n", b""):
+                name, _, value = line.decode().rstrip(CRLF).partition(": ")
+                head[name] = value
+            block = file.read(int(head["Content-Length"]))
+            if file.read(4) != b"\r\n\r\n":
+                raise ValueError(f"{head['WARC-Record-ID']} does not end where its length says")
+            yield head, block
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -147,6 +150,5 @@ def archive_pages(pages: DataFrame, path: str | None = None, *, key: str = "page
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    total = pages.agg(F.sum(F.octet_length(F.col(html).cast("string")).cast("long"))).first()[0] or 0
-    write_archives(plan_records(pages, key, url, html), path, total)
+    write_archives(plan_records(pages, key, url, html), path)
     return path
