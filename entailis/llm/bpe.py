@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entailis.llm.common import bounded_batches
+from entailis.llm.common import prepare
 
 #: The split of byte-level BPE before merges, as published with the vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -265,7 +265,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     empty table.  path: a tokenizer JSON file present on every executor.
     Memory: a batch of rows, its ids, and at most CACHE_WORDS words.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     narrow = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = narrow.schema["key"].dataType.simpleString()
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entailis.plans.shared import checkpoint, shared_dir, ship_package
+
+__all__ = ["LOWER_ASCII", "UPPER", "ascii_lower", "checkpoint", "prepare", "shared_dir", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER_ASCII = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -16,28 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+def prepare(spark: SparkSession, rows: int = 256) -> None:
+    """Before Python runs on executors: its code goes there, and Arrow batches hold at most this many rows.
 
-    The session's ``spark.checkpoint.dir`` where it is set; otherwise (a local
-    session in tests) a temporary folder that is set once for the context.
+    Smaller batches keep long texts from adding up in a Python worker.
     """
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shared-"))
-        found = sc._jsc.sc().getCheckpointDir()
-    return found.get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and cut its lineage; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of at most this many rows, so that long texts do not add up in a Python worker."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

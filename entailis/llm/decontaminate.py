@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entailis.llm.common import LOWER_ASCII, bounded_batches
+from entailis.llm.common import LOWER_ASCII, prepare
 
 WINDOW = 13
 #: Every how many text positions a suffix position is kept.
@@ -239,7 +239,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     block_bytes, each of which is sent to the executors and searched in turn.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
     total = bench.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entailis.llm.common import bounded_batches
+from entailis.llm.common import prepare
 
 #: Elements of HTML that have no content, that do not break a line, and whose content is no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -576,7 +576,7 @@ def main_text(pages: DataFrame, model: BoostedTrees | None = None, html: str = "
     body, outside any element, counts only where no element holds main text.
     Repeated rows are treated alike.  The model is a few thousand numbers.
     """
-    bounded_batches(pages.sparkSession)
+    prepare(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
 
     @F.pandas_udf("string")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entailis.llm.common import bounded_batches
+from entailis.llm.common import prepare
 
 BUCKETS_LOG2 = 16
 #: About so many documents of each language are sampled for training.
@@ -106,7 +106,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     for each language, and at most 2^BUCKETS_LOG2 sums for each, come to the driver.
     """
     spark = labelled.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(totals)
@@ -142,7 +142,7 @@ def language(docs: DataFrame, model: MixtureModel, text: str = "text") -> Column
     null or has no letter; score: that proportion, 0 for ``und``.  Ties go to
     the first language in order.  The model is as large as its languages, not the data.
     """
-    bounded_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, langs array<string>, shares array<double>")

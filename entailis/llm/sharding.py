@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entailis.llm.common import checkpoint
+from entailis.llm.common import checkpoint, prepare
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -103,6 +103,7 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int, key: int) -> DataFra
     """
     if shards < 1:
         raise ValueError("shards must be positive")
+    prepare(df.sparkSession, 10_000)
     numbered, n = number_rows(df, keys)
     perm = FeistelPermutation(n, key)
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entailis.llm.common import prepare
+
 #: Cells of a component's grid in a block.
 CELLS = 256
 #: Queries of one pass over the vectors: this many at most come to the driver and go to each executor.
@@ -92,6 +94,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, *, key: str = "vec_id", embe
     approximation file at a time.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    prepare(spark, 4096)
     base = vectors.select(F.col(key).cast("long").alias("vec_id"), quantise(embedding, scale).alias("v")).where("vec_id is not null and v is not null")
     queries = base.where(is_query(F.col("vec_id"))).distinct()
     n = queries.count()

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entailis.llm.common import checkpoint, shared_dir
+from entailis.llm.common import checkpoint, prepare, shared_dir
 
 CRLF = "\r\n"
 #: Payloads of fewer bytes are always stored: a revisit record would save nothing.
@@ -135,6 +135,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     out[k] = out[k].astype("Int64")
                 yield out
 
+    prepare(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
