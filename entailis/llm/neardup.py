@@ -6,10 +6,12 @@ locality-sensitive: bands of registers make candidates, the joint likelihood of
 two sketches estimates the similarity of a pair, and what may reach the
 threshold is verified on the full sets.
 
-Classes of a band bucket are first compared with the bucket's smallest and
-largest class, which connects groups of copies without all their pairs.  Only
-classes of a bucket that are still in different components are then compared
-with each other, in blocks of bounded size.
+Classes of a band bucket are first estimated against the bucket's smallest and
+largest class, and each class is verified with its best such partner, which
+connects most of a group of copies without its pairs.  Where a bucket still
+holds different components, sketches are compared in blocks of bounded size,
+and each class that may reach another component is verified with that
+component's members; one link found is enough.
 """
 
 from __future__ import annotations
@@ -22,18 +24,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entailis.llm.common import LOWER_ASCII, bounded_batches, checkpoint
+from entailis.llm.common import LOWER_ASCII, checkpoint, prepare, release
 
 SHINGLE = 5
 #: Similarity in hundredths from which two documents are linked.
 THRESHOLD = 75
-BANDS, BAND_ROWS = 64, 5
-REGISTERS = BANDS * BAND_ROWS
+#: A pair at the threshold shares no band with a chance of 3 in 10 million.
+BANDS, BAND_ROWS = 40, 4
+REGISTERS = 192
 #: Fixed values of the sketch: base of the spacing, rate, largest register.
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 1
-#: Estimates below this are far (six standard errors) from the threshold.
+#: Estimates below this are far (nearly five standard errors) from the threshold.
 LEAST_ESTIMATE = 0.60
-#: Classes of a bucket that one task compares with each other.
+#: Pairs with a smaller share of equal registers are not estimated: equality is at least as likely as similarity says.
+LEAST_EQUAL = 0.55
+#: Edges of a graph that one task handles in a round.
+EDGES_A_TASK = 200_000
+#: Classes on either side of one comparison in a task.
 BLOCK = 256
 
 _SPACES = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in LOWER_ASCII)
@@ -97,23 +104,25 @@ def joint_similarity(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, s
         p, q = differ(u - v * j), differ(v - u * j)
         return greater * np.log(p) + less * np.log(q) + equal * np.log(np.maximum(1 - p - q, 1e-12))
 
-    for _ in range(40):  # the likelihood is concave
+    for _ in range(30):  # the likelihood is concave
         a, b = low + (high - low) / 3, high - (high - low) / 3
         up = fit(a) < fit(b)
         low, high = np.where(up, a, low), np.where(up, high, b)
     return (low + high) / 2
 
 
-def likely(regs: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of rows may be similar enough: by their sizes, then by the joint estimate."""
-    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-    out = 100 * small >= THRESHOLD * large
-    at = np.flatnonzero(out)
-    for k in range(0, len(at), 8192):
-        part = at[k : k + 8192]
-        a, b = regs[i[part]], regs[j[part]]
-        equal, greater = (a == b).sum(1), (a > b).sum(1)
-        out[part] = joint_similarity(greater, REGISTERS - equal - greater, equal, sizes[i[part]].astype(float), sizes[j[part]].astype(float)) >= LEAST_ESTIMATE
+def estimates(regs_a: np.ndarray, regs_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """The estimated similarity of each pair of rows, 0 where sizes or equal registers rule it out."""
+    out = np.zeros(len(size_a))
+    at = np.flatnonzero(100 * np.minimum(size_a, size_b) >= THRESHOLD * np.maximum(size_a, size_b))
+    for k in range(0, len(at), 16384):
+        part = at[k : k + 16384]
+        a, b = regs_a[part], regs_b[part]
+        equal = (a == b).sum(1)
+        near = equal >= LEAST_EQUAL * REGISTERS
+        part, a, b, equal = part[near], a[near], b[near], equal[near]
+        greater = (a > b).sum(1)
+        out[part] = joint_similarity(greater, REGISTERS - equal - greater, equal, size_a[part].astype(float), size_b[part].astype(float))
     return out
 
 
@@ -142,103 +151,98 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before the shuffle, so a node with very many edges is no hot spot.
     """
     edges = checkpoint(edges.select("a", "b").where("a <> b").distinct())
-    labels = checkpoint(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
+    parts = max(1, -(-edges.count() // EDGES_A_TASK))
+    small = lambda df: checkpoint(df.coalesce(parts))
+    edges = small(edges)
+    labels = small(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
     turn = 0
     while edges.take(1):
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         near = near.union(near.select("v", "u"))
         ranked = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("to"))  # noqa: B023, E731
         least = near.groupBy("u").agg(F.min(ranked(F.col("v"))).alias("m"))
-        jump = checkpoint(least.select("u", F.least(F.col("m"), ranked(F.col("u")))["to"].alias("to")))
+        jump = small(least.select("u", F.least(F.col("m"), ranked(F.col("u")))["to"].alias("to")))
         at = lambda n: jump.select(F.col("u").alias(n), F.col("to").alias(f"to_{n}"))  # noqa: B023, E731
         redrawn = edges.join(at("a"), "a").join(at("b"), "b").where("to_a <> to_b")
-        edges = checkpoint(redrawn.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
-        labels = checkpoint(labels.join(at("label"), "label", "left").select("node", F.coalesce("to_label", "label").alias("label")))
+        edges = small(redrawn.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        labels = small(labels.join(at("label"), "label", "left").select("node", F.coalesce("to_label", "label").alias("label")))
         turn += 1
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
-    return checkpoint(labels.join(checkpoint(least), "label").select("node", "component"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; texts: (node, text)."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "items": [shingles(t).tobytes() for t in batch["text"]]})
-
-    held = texts.join(nodes, "node", "left_semi").mapInPandas(sets, "node long, items binary")
-    held = checkpoint(held)
-    of = lambda n: held.select(F.col("node").alias(n), F.col("items").alias(f"items_{n}"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["items_a"], batch["items_b"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= THRESHOLD * (len(p) + len(q) - both))
-            yield batch.loc[keep, ["a", "b"]]
-
-    return checkpoint(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "items_a", "items_b").mapInPandas(compare, "a long, b long").distinct())
+    out = small(labels.join(small(least), "label").select("node", "component"))
+    release(out.sparkSession)
+    return out
 
 
-def _near_pivots(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of each class and its buckets' smallest and largest class that may be similar enough."""
-    pairs = members.select(F.col("low").alias("a"), F.col("node").alias("b")).union(members.select("node", "high")).where("a < b").distinct()
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of whole groups from batches sorted by keys: a group that goes on in the next batch waits for it."""
+    kept = None
+    for batch in batches:
+        rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        key = rows[keys].to_numpy()
+        last = int(np.flatnonzero((key != key[-1]).any(1))[-1]) + 1 if (key[0] != key[-1]).any() else 0
+        kept = rows.iloc[last:].reset_index(drop=True)
+        if last:
+            yield rows.iloc[:last]
+    if kept is not None and len(kept):
+        yield kept
+
+
+def _bounds(rows: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    key = rows[keys].to_numpy()
+    starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1]
+    return starts, np.r_[starts[1:], len(rows)]
+
+
+def _best_pivots(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(g, node): for each class the pivot of its buckets that is likely the most similar, if any may be similar enough."""
+    pairs = members.select(F.col("low").alias("a"), F.col("node").alias("b")).union(members.select("high", "node")).where("a <> b").distinct()
     of = lambda n: sketches.select(F.col("node").alias(n), F.col("regs").alias(f"regs_{n}"), F.col("n").alias(f"n_{n}"))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            m = len(batch)
-            if m:
-                regs, sizes = np.concatenate([_regs(batch["regs_a"]), _regs(batch["regs_b"])]), np.concatenate([batch["n_a"], batch["n_b"]])
-                yield batch.loc[likely(regs, sizes, np.arange(m), np.arange(m, 2 * m)), ["a", "b"]]
+            if len(batch):
+                est = estimates(_regs(batch["regs_a"]), _regs(batch["regs_b"]), batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
+                yield batch[["a", "b"]].assign(est=est)[est >= LEAST_ESTIMATE]
 
-    return checkpoint(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(pick, "a long, b long"))
+    found = pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(pick, "a long, b long, est double")
+    return checkpoint(found.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select(F.col("m.a").alias("g"), F.col("b").alias("node")))
 
 
-def _near_rest(members: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of classes of one bucket, but of different components, that may be similar enough."""
-    placed = members.select("band", "node").join(components, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"))
-    open_ = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
-    open_ = checkpoint(open_.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rest = placed.join(open_, "band").join(sketches, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _open_components(members: DataFrame, components: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(g, node): classes with a likely similar class of another component g in one of their buckets.
+
+    Of two components the smaller one's classes are named, with the larger one as g.
+    """
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    placed = components.join(sizes, "component")
+    at = members.select("band", "node").join(placed, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed = at.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
+    mixed = checkpoint(mixed.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    rest = at.join(mixed, "band").join(sketches, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "comp", "n", "regs")
-    dealt = rest.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    keys = ["band", "p", "q"]
+    rest = rest.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "comp", "size", "n", "regs")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in _ended(batches):
-            rows = kept if batch is None else batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            if rows is None or not len(rows):
-                continue
-            key = rows[["band", "p", "q"]].to_numpy()
-            starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1]
-            ends = np.r_[starts[1:], len(rows)]
-            kept = None
-            if batch is not None:  # the last group may go on in the next batch
-                kept = rows.iloc[starts[-1] :].reset_index(drop=True)
-                starts, ends = starts[:-1], ends[:-1]
-            if not len(starts):
-                continue
-            regs, sizes, comp, own, node = _regs(rows["regs"]), *(rows[c].to_numpy() for c in ("n", "comp", "own", "node"))
+        for rows in _groups(batches, keys):
+            starts, ends = _bounds(rows, keys)
+            regs = _regs(rows["regs"])
+            n, comp, own, node, size, p, q = (rows[c].to_numpy() for c in ("n", "comp", "own", "node", "size", "p", "q"))
             for i, j in _group_pairs(starts, ends):
-                apart = (comp[i] != comp[j]) & ((own[i] != own[j]) | (key[i, 1] == key[i, 2]))
+                apart = (comp[i] != comp[j]) & ((own[i] != own[j]) | (p[i] == q[i]))
                 i, j = i[apart], j[apart]
-                near = likely(regs, sizes, i, j)
-                yield pd.DataFrame({"a": np.minimum(node[i], node[j])[near], "b": np.maximum(node[i], node[j])[near]})
-
-    return checkpoint(dealt.mapInPandas(compare, "a long, b long").distinct())
+                near = estimates(regs[i], regs[j], n[i], n[j]) >= LEAST_ESTIMATE
+                i, j = i[near], j[near]
+                swap = (size[i] > size[j]) | ((size[i] == size[j]) & (comp[i] < comp[j]))
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pd.DataFrame({"g": comp[j], "node": node[i]}).drop_duplicates()
 
+    return checkpoint(rest.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "g long, node long").distinct())
 
-def _ended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
-    yield from batches
-    yield None
 
-
-def _group_pairs(starts: np.ndarray, ends: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _group_pairs(starts: np.ndarray, ends: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows within groups, about ``most`` at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -253,6 +257,51 @@ def _group_pairs(starts: np.ndarray, ends: np.ndarray, most: int = 200_000) -> I
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _links(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of right and of left in the same group g, at least one for each that has any.
+
+    left, right: (g, node).  Both sides are dealt into blocks, so that a task
+    holds the sets of a bounded number of classes.  Within a block pair each
+    class of right is verified with the classes of left that may be similar
+    enough, the likeliest first, until one is.
+    """
+    rows = left.select("g", "node", F.lit(0).alias("side")).union(right.select("g", "node", F.lit(1).alias("side")))
+    count = lambda k: F.ceil(F.sum((F.col("side") == k).cast("int")) / BLOCK).cast("int")
+    blocks = checkpoint(rows.groupBy("g").agg(count(0).alias("ps"), count(1).alias("qs")).where("ps > 0 and qs > 0"))
+    own = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    first = F.col("side") == 0
+    dealt = rows.join(blocks, "g").withColumn("p", F.explode(F.when(first, F.array(own("ps"))).otherwise(every("ps")))).withColumn("q", F.explode(F.when(first, every("qs")).otherwise(F.array(own("qs")))))
+    keys = ["g", "p", "q"]
+    dealt = dealt.select(*keys, "side", "node").join(sets, "node").repartition(*keys).sortWithinPartitions(*keys, "side")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _groups(batches, keys):
+            regs, n, node, side = _regs(rows["regs"]), *(rows[c].to_numpy() for c in ("n", "node", "side"))
+            items = rows["items"].tolist()
+            made = []
+            for s, e in zip(*(x.tolist() for x in _bounds(rows, keys)), strict=True):
+                m = s + int((side[s:e] == 0).sum())
+                x = {k: np.frombuffer(items[k], np.uint64) for k in range(s, e)}
+                for j in range(m, e):
+                    est = estimates(regs[s:m], np.broadcast_to(regs[j], (m - s, REGISTERS)), n[s:m], np.full(m - s, n[j]))
+                    for i in (s + np.argsort(-est, kind="stable")).tolist():
+                        if est[i - s] < LEAST_ESTIMATE:
+                            break
+                        both = len(np.intersect1d(x[i], x[j], assume_unique=True))
+                        if 100 * both >= THRESHOLD * (len(x[i]) + len(x[j]) - both):
+                            made.append((node[i], node[j]))
+                            break
+            yield pd.DataFrame(made, columns=["a", "b"])
+
+    return checkpoint(dealt.select(*keys, "side", "node", "n", "regs", "items").mapInPandas(compare, "a long, b long").distinct())
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch[["node", "n", "regs"]].assign(items=[shingles(t).tobytes() for t in batch["text"]])
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept), one row for each row of docs.
 
@@ -264,7 +313,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     key and text are read.  No limit holds on members of a group or a bucket.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    prepare(spark)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     feats = checkpoint(source.mapInPandas(_features, "key long, h1 long, h2 long, n long, regs binary"))
     classes = feats.where("n > 0 and key is not null").groupBy("h1", "h2").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"))
@@ -274,14 +323,22 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     banded = classes.select("node", F.explode(band).alias("band"))
     shared = checkpoint(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
     members = checkpoint(banded.join(shared, "band"))
+    release(spark)
     sketches = checkpoint(classes.select("node", "n", "regs").join(members.select("node").distinct(), "node", "left_semi"))
-    texts = source.withColumnRenamed("key", "node")
-    tried = _near_pivots(members, sketches)
-    edges = _verified(tried, texts)
+    # The only step that moves texts: those of classes that share a bucket with another.
+    texts = source.select(F.col("key").alias("node"), "text").where("node is not null")
+    sets = texts.join(sketches, "node").select("node", "n", "regs", "text").dropDuplicates(["node"]).mapInPandas(_sets, "node long, n long, regs binary, items binary")
+    sets = checkpoint(sets)
+    release(spark)
+    pivots = _best_pivots(members, sketches)
+    edges = _links(pivots.select("g", F.col("g").alias("node")).distinct(), pivots, sets)
     components = connected_components(edges)
-    more = checkpoint(_near_rest(members, components, sketches).join(tried, ["a", "b"], "left_anti"))
-    if more.take(1):
-        found = _verified(more, texts)
+    open_ = _open_components(members, components, sketches)
+    if open_.take(1):
+        wanted = open_.select("g").distinct()
+        alone = wanted.join(components.select(F.col("component").alias("g")), "g", "left_anti").select("g", F.col("g").alias("node"))
+        grown = components.select(F.col("component").alias("g"), "node").join(wanted, "g", "left_semi")
+        found = _links(grown.unionByName(alone), open_, sets)
         at = lambda n: components.select(F.col("node").alias(n), F.col("component").alias(f"at_{n}"))
         across = found.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("at_a", "a").alias("a"), F.coalesce("at_b", "b").alias("b"))
         upper = connected_components(across).select(F.col("node").alias("component"), F.col("component").alias("top"))
