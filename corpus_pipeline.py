@@ -19,8 +19,13 @@ LEAST_SHARE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those in which no language holds LEAST_SHARE."""
+    """Drops documents without letters and those in which no language holds LEAST_SHARE.
+
+    Where no labelled row teaches a language, only documents without letters go.
+    """
     model = langid.train(langid.training_rows(docs))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = docs.withColumn("__found", langid.language(docs, model))
     return found.where((F.col("__found.lang_pred") != langid.UNDETERMINED) & (F.col("__found.score") >= LEAST_SHARE)).select(*docs.columns)
 
