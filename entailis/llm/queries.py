@@ -91,6 +91,37 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
+
+
+def op4_sql(levels: int = urls.LEVELS) -> str:
+    """The template tree in SQL, a few expressions a level, with the same rules and thresholds."""
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+    cases = [(fits.format(*(lambda h, _, t: (h, "/" + t))(*r.partition("/"))), r, said) for said, r in sorted(RULES, key=lambda x: (-len(x[1]), x[1]))]
+    case = lambda i: "CASE " + " ".join(f"WHEN {c[0]} THEN '{c[i]}'" for c in cases) + " END"
+    near = "({of} >= 20 AND abs({hits} / {of} - {all_hits} / {all_of}) <= 1.96 * sqrt(({all_hits} / {all_of}) * (1 - {all_hits} / {all_of}) / {of}))"
+    rate, leaf = near.format(hits="c.bads", of="c.lab", all_hits="p.bads", all_of="p.lab"), near.format(hits="c.leaves", of="c.n", all_hits="p.leaves", all_of="p.n")
+    parts = [
+        "r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages)",
+        f"h AS (SELECT page_id, {low.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)",
+        f"v AS (SELECT *, {case(1)} AS rule, {case(2)} AS said, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM h)",
+        "w AS (SELECT *, list_transform(segs, lambda s: CASE WHEN regexp_full_match(regexp_extract(s, '^[^.]*'), '[0-9a-fA-F-]{8,}') AND regexp_matches(regexp_extract(s, '^[^.]*'), '[0-9]') THEN '{hex}' || substring(s, length(regexp_extract(s, '^[^.]*')) + 1)"
+        " WHEN regexp_full_match(regexp_extract(s, '^[^.]*'), '[0-9]+') THEN '{num}' || substring(s, length(regexp_extract(s, '^[^.]*')) + 1) ELSE s END) AS typed FROM v)",
+        f"x AS (SELECT page_id, host, path, rule, said, CASE WHEN len(typed) > {levels} THEN list_concat(typed[1:{levels}], ['**']) ELSE typed END AS shape FROM w)",
+        "t0 AS (SELECT host, shape, count(*) AS n, count(said) AS lab, count(*) FILTER (WHERE said = 'block') AS bads, '' AS prefix FROM x GROUP BY host, shape)",
+    ]
+    for k in range(levels + 1):
+        parts += [
+            f"c{k} AS (SELECT host, prefix, shape[{k + 1}] AS seg, sum(n) AS n, sum(lab) AS lab, sum(bads) AS bads, sum(CASE WHEN len(shape) = {k + 1} THEN n ELSE 0 END) AS leaves FROM t{k} WHERE len(shape) > {k} GROUP BY ALL)",
+            f"p{k} AS (SELECT host, prefix, count(*) AS children, max(n) AS top, sum(n) AS n, sum(lab) AS lab, sum(bads) AS bads, sum(leaves) AS leaves FROM c{k} GROUP BY ALL)",
+            f"s{k} AS (SELECT c.host, c.prefix, c.seg, CASE WHEN children >= 20 AND top < 0.5 * p.n THEN '*' WHEN coalesce(children > 1 AND {rate} AND {leaf}, false) THEN '+' ELSE c.seg END AS token FROM c{k} c JOIN p{k} p USING (host, prefix))",
+            f"t{k + 1} AS (SELECT t.host, t.shape, t.n, t.lab, t.bads, CASE WHEN token IS NULL THEN t.prefix ELSE t.prefix || '/' || token END AS prefix FROM t{k} t LEFT JOIN s{k} s ON s.host = t.host AND s.prefix = t.prefix AND s.seg = t.shape[{k + 1}])",
+        ]
+    last = f"t{levels + 1}"
+    parts.append(f"z AS (SELECT host, prefix, (sum(bads) + 1) / (sum(lab) + 2) >= 0.9 AS bad FROM {last} GROUP BY ALL)")
+    return "WITH " + ", ".join(parts) + f" SELECT page_id, x.host, path, rule, coalesce(said, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM x JOIN {last} l ON l.host = x.host AND l.shape = x.shape JOIN z ON z.host = l.host AND z.prefix = l.prefix"
+
+
 OP5_SQL = """
 WITH l AS (
   SELECT doc_id, source, i, s[i] AS line FROM (
@@ -154,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL, "op5_linededup": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_neardup": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op3_topk": OP3_SQL, "op4_urls": op4_sql(), "op5_linededup": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_neardup": OP9_SQL, "op10_warc": OP10_SQL}

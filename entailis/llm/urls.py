@@ -82,8 +82,8 @@ def path_templates(
         both = child.join(parent, ["host", "prefix"])
 
         def near(hits: Column, of: Column, all_hits: Column, all_of: Column) -> Column:
-            rate = all_hits / all_of
-            return (of >= merge_support) & (F.abs(hits / of - rate) <= merge_z * F.sqrt(rate * (1 - rate) / of))
+            rate = F.try_divide(all_hits, all_of)
+            return (of >= merge_support) & (F.abs(F.try_divide(hits, of) - rate) <= merge_z * F.sqrt(F.try_divide(rate * (1 - rate), of)))
 
         c = F.col
         merged = (c("children") > 1) & near(c("bads"), c("lab"), c("pbads"), c("plab")) & near(c("leaves"), c("n"), c("pleaves"), c("pn"))
