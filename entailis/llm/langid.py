@@ -102,7 +102,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     """Fit the distributions to about ``per_language`` whole documents of each language.
 
     The sample is chosen by a hash of the text, so it does not depend on
-    partitioning.  Rows with a null text or language do not count.  One count
+    partitioning, and of equal texts it takes one.  Rows with a null text or language do not count.  One count
     for each language, and at most 2^BUCKETS_LOG2 sums for each, come to the driver.
     """
     spark = labelled.sparkSession
@@ -116,7 +116,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     share = F.lit(0.0)
     for k in langs:
         share = F.when(F.col("lang") == k, F.lit(per_language / totals[k])).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["lang", "text"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[str, np.ndarray] = {}
