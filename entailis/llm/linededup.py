@@ -32,7 +32,8 @@ def cross_site_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     judged = checkpoint(often.select("__h1", "__h2", F.hll_sketch_estimate("sketch").alias("sites")))
     clear = judged.where(F.col("sites") > min_sites * (1 + MARGIN)).select("__h1", "__h2")
     near = judged.where((F.col("sites") >= min_sites * (1 - MARGIN)) & (F.col("sites") <= min_sites * (1 + MARGIN))).select("__h1", "__h2")
-    exact = lines.where("__site is not null").join(near, ["__h1", "__h2"], "left_semi").groupBy("__h1", "__h2", "__site").agg(F.lit(1).alias("one"))
+    # A line's sites are made distinct before the join, so that a line on very many rows is few of them.
+    exact = checkpoint(lines.where("__site is not null").select("__h1", "__h2", "__site").distinct()).join(near, ["__h1", "__h2"], "left_semi").withColumn("one", F.lit(1))
     exact = exact.groupBy("__h1", "__h2").agg(F.count("one").alias("n")).where(F.col("n") >= min_sites).select("__h1", "__h2")
     return clear.unionByName(exact)
 
@@ -56,8 +57,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, *, key: str = "doc_
     held = checkpoint(each.join(often, ["__h1", "__h2"], "left_semi"))
     spread = checkpoint(cross_site_lines(held, min_sites))
     order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__pos").alias("pos"))
-    of = held.join(spread, ["__h1", "__h2"], "left_semi")
-    first = checkpoint(of.groupBy("__h1", "__h2").agg(F.min(order).alias("first")))
+    # Minima combine before the shuffle; a join first would bring all rows of a hot line into one task.
+    first = checkpoint(held.groupBy("__h1", "__h2").agg(F.min(order).alias("first")).join(spread, ["__h1", "__h2"], "left_semi"))
     later = held.join(first, ["__h1", "__h2"]).where(~order.eqNullSafe(F.col("first")))
     gone = later.groupBy(F.col("__key").alias("__k"), F.col("__row").alias("__r")).agg(F.array_sort(F.collect_set("__pos")).alias("__gone"))
     found = base.join(gone, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__row") == F.col("__r")), "left")
