@@ -215,7 +215,8 @@ def _open_components(members: DataFrame, components: DataFrame, sketches: DataFr
 
     Of two components the smaller one's classes are named, with the larger one as g.
     """
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    # Written first, so that the rows of a large component can be split among tasks in the join.
+    sizes = checkpoint(components.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     placed = components.join(sizes, "component")
     at = members.select("band", "node").join(placed, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
     mixed = at.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
