@@ -63,7 +63,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, *, key: str = "doc_
     gone = later.groupBy(F.col("__key").alias("__k"), F.col("__row").alias("__r")).agg(F.array_sort(F.collect_set("__pos")).alias("__gone"))
     found = base.join(gone, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__row") == F.col("__r")), "left")
     edge = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size(lines)))
-    # What lies between two removed lines is one slice, so the work is linear in the lines.
+    # What lies between two removed lines is one slice.
     parts = F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda i: F.slice(lines, F.get(edge, i) + 2, F.get(edge, i + 1) - F.get(edge, i) - 1))
     left = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.flatten(parts), "\n"))
     out = [left.alias(c) if c == text else F.col(c) for c in docs.columns]
