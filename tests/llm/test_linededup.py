@@ -61,6 +61,16 @@ def test_long_and_empty(spark):
     assert run(spark, [], 2) == []
 
 
+def test_long_lines_from_fewer_sites(spark):
+    long, mid = " ".join(f"w{i}" for i in range(51)), " ".join(f"w{i}" for i in range(50))
+    docs = [(i, f"{long}\n{mid}\nown {i}", f"s{i}") for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = rows(linededup.dedup_lines(df, 10, long_sites=3).select("doc_id", "n_removed", "text"))
+    assert got == [(0, 0, docs[0][1]), (1, 1, f"{mid}\nown 1"), (2, 1, f"{mid}\nown 2")]
+    assert not any(n for _, n in rows(linededup.dedup_lines(df, 10, long_sites=4).select("doc_id", "n_removed")))
+    assert not any(n for _, n in rows(linededup.dedup_lines(df, 10).select("doc_id", "n_removed")))
+
+
 def test_plan_is_native(spark, documents):
     plan = linededup.dedup_lines(documents)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
