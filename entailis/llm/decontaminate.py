@@ -143,13 +143,18 @@ class FMIndex:
         return out
 
 
+def sorted_items(items: set[str | None]) -> list[str | None]:
+    """Ids in order, a null one last."""
+    return sorted(items, key=lambda i: (i is None, i or ""))
+
+
 class Phrases:
     """The windows of benchmark items: distinct patterns, and the items of each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
-        self.items = sorted({i for i, _ in items})
+        self.items = sorted_items({i for i, _ in items})
         at = {i: k for k, i in enumerate(self.items)}
         for item, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
@@ -214,7 +219,7 @@ class Phrases:
         for d, p in zip((pairs // len(self.patterns)).tolist(), (pairs % len(self.patterns)).tolist(), strict=True):
             items[own[d]] += [self.items[i] for i in self.owners[(self.owner_ends[p - 1] if p else 0) : self.owner_ends[p]].tolist()]
         for d in {own[d] for d in (pairs // len(self.patterns)).tolist()}:
-            items[d] = sorted(set(items[d]))
+            items[d] = sorted_items(set(items[d]))
 
 
 def merge_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -229,18 +234,21 @@ def merge_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tupl
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Column:
-    """A column struct(n_words, spans, items) for the whole texts of docs.
+    """A column struct(n_words, spans, items, unnamed) for the whole texts of docs.
 
     spans: half-open ranges of hit words, merged; items: ids, as sorted strings,
     of the items with an occurring window (``window`` consecutive words, or all
     words of a shorter item).  A null text or one without words has no words;
-    items without words have no window; repeated items and rows count as one
+    items without words have no window; rows with a null id are one item that
+    is not in items: its windows hit as all others do, and unnamed says whether
+    one occurs (op8_decontaminate counts it in n_items, as OP8_SQL does);
+    repeated items and rows count as one
     and as often as they occur.  The benchmark is taken in blocks of about
     block_bytes, each of which is sent to the executors and searched in turn.
     """
     spark = docs.sparkSession
     prepare(spark)
-    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
+    bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = bench.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     col = F.col(text).cast("string")
@@ -252,11 +260,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     return out
 
 
-_FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>, unnamed boolean"
 
 
 def _frame(got: list) -> pd.DataFrame:
-    return pd.DataFrame({"n_words": [n for n, _, _ in got], "spans": [[{"start": a, "end": e} for a, e in s] for _, s, _ in got], "items": [i for _, _, i in got]})
+    return pd.DataFrame({"n_words": [n for n, _, _ in got], "spans": [[{"start": a, "end": e} for a, e in s] for _, s, _ in got], "items": [[x for x in i if x is not None] for _, _, i in got], "unnamed": [None in i for _, _, i in got]})
 
 
 def _texts(texts: pd.Series) -> list[str | None]:
@@ -278,7 +286,7 @@ def _rescanner(shared):
     def rescan(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
         got = shared.value.scan(_texts(texts))
         spans = [[(x["start"], x["end"]) for x in s] for s in before["spans"]]
-        return _frame([(n, merge_spans(s, s0), sorted({*i, *i0})) for (n, s, i), s0, i0 in zip(got, spans, before["items"], strict=True)])
+        return _frame([(n, merge_spans(s, s0), sorted_items({*i, *i0, *([None] if u0 else [])})) for (n, s, i), s0, i0, u0 in zip(got, spans, before["items"], before["unnamed"], strict=True)])
 
     return rescan
 

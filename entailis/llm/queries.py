@@ -56,7 +56,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).alias("x")).select("doc_id", "x", decontaminate.n_hit("x").alias("n_hit"))
     return found.select(
-        "doc_id", F.col("x.n_words").alias("n_words"), "n_hit", F.size("x.items").cast("long").alias("n_items"),
+        "doc_id", F.col("x.n_words").alias("n_words"), "n_hit", (F.size("x.items") + F.col("x.unnamed").cast("int")).cast("long").alias("n_items"),
         F.sha2(F.array_join("x.items", ",").cast("binary"), 256).alias("items_sha256"), decontaminate.is_contaminated(F.col("x.n_words"), F.col("n_hit")).alias("contaminated"),
     )
 

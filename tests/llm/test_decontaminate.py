@@ -43,6 +43,21 @@ def test_query(spark):
     same(op8_decontaminate(spark, folder), connect(folder), OP8_SQL)
 
 
+def test_null_item_ids(spark, tmp_path):
+    bench = [(None, "one two three"), (None, "four five"), (7, "four five"), (8, None)]
+    docs = [(1, "a one two three b"), (2, "four five"), (3, "one two three four five"), (4, "clean")]
+    spark.createDataFrame(bench, "item_id long, text string").coalesce(1).toPandas().astype({"item_id": "Int64"}).to_parquet(tmp_path / "benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    got = op8_decontaminate(spark, str(tmp_path))
+    same(got, connect(tmp_path), OP8_SQL)
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in got.collect()} == {1: (3, 1), 2: (2, 2), 3: (5, 2), 4: (0, 0)}
+    table = spark.createDataFrame(bench, "item_id string, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for size in (1 << 20, 4):
+        found = df.select("doc_id", D.contamination(df, table, block_bytes=size).alias("x")).collect()
+        assert {r.doc_id: (r.x["items"], r.x["unnamed"]) for r in found} == {1: ([], True), 2: (["7"], True), 3: (["7"], True), 4: ([], False)}
+
+
 def test_against_brute_force():
     rng = random.Random(2)
     alphabet = ["a", "B", "c", "é", "7"]
