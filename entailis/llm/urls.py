@@ -10,12 +10,14 @@ labels among its pages is high enough.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entailis.llm.common import ascii_lower, checkpoint
 
-#: Levels of the tree; what lies deeper in a path is one wildcard, for any depth.
+#: Levels that the SQL of the tree writes out; the tree itself is as deep as the paths are.
 LEVELS = 6
 
 
@@ -49,12 +51,11 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
 
 
 def _shape(path: Column) -> Column:
-    """The segments of a path with numbers and hexadecimal names generalised; LEVELS + 1 at most."""
-    typed = F.transform(
+    """The segments of a path with numbers and hexadecimal names generalised."""
+    return F.transform(
         F.filter(F.split(path, "/"), lambda s: s != ""),
         lambda s: F.regexp_replace(F.regexp_replace(s, r"^(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{8,}(?=\.|$)", "{hex}"), r"^[0-9]+(?=\.|$)", "{num}"),
     )
-    return F.when(F.size(typed) > LEVELS, F.concat(F.slice(typed, 1, LEVELS), F.array(F.lit("**")))).otherwise(typed)
 
 
 def path_templates(
@@ -68,12 +69,16 @@ def path_templates(
     labelled rate and their share of leaves lie within ``merge_z`` standard
     errors of the parent's, each with ``merge_support`` observations.
     All statistics are aggregates over all rows, combined before the shuffle.
+    There is a round for each level; a shape that has a branch to itself is
+    settled at once, so rounds go as deep as paths share their templates.
     """
     shapes = pages.select(F.col(host).alias("host"), _shape(F.col(path)).alias("shape"), bad.cast("int").alias("bad"))
     shapes = shapes.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("lab"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads"))
-    tree = checkpoint(shapes.withColumn("prefix", F.lit("")))
-    for level in range(LEVELS + 1):
-        seg, ends = F.get(F.col("shape"), F.lit(level)), F.size("shape") == level + 1
+    tree = checkpoint(shapes.withColumn("prefix", F.lit("")).withColumn("done", F.lit(False)))
+    # An only child holds all pages of its parent, so it stays as it is, and so do its own.
+    settles = variable_children > 1 or variable_top <= 1
+    for level in count():
+        seg, ends = F.when(~F.col("done"), F.get(F.col("shape"), F.lit(level))), F.size("shape") == level + 1
         child = tree.where(seg.isNotNull()).groupBy("host", "prefix", seg.alias("seg"))
         child = child.agg(*(F.sum(c).alias(c) for c in ("n", "lab", "bads")), F.sum(F.when(ends, F.col("n")).otherwise(0)).alias("leaves"))
         parent = child.groupBy("host", "prefix").agg(
@@ -91,8 +96,15 @@ def path_templates(
         step = both.select("host", "prefix", "seg", F.when(variable, F.lit("*")).when(F.coalesce(merged, F.lit(False)), F.lit("+")).otherwise(c("seg")).alias("token"))
         tree = tree.withColumn("seg", F.coalesce(seg, F.lit(""))).join(step, ["host", "prefix", "seg"], "left")
         tree = checkpoint(tree.withColumn("prefix", F.when(c("token").isNotNull(), F.concat("prefix", F.lit("/"), "token")).otherwise(c("prefix"))).drop("seg", "token"))
-        if not tree.where(F.size("shape") > level + 1).take(1):
+        if not tree.where((F.size("shape") > level + 1) & ~c("done")).take(1):
             break
+        if settles:
+            alone = tree.where("not done").groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("shapes")).where("shapes = 1")
+            tree = tree.join(alone, ["host", "prefix"], "left").withColumn("now", ~c("done") & c("shapes").isNotNull() & (F.size("shape") > level + 1))
+            rest = F.concat("prefix", F.lit("/"), F.array_join(F.slice("shape", level + 2, F.size("shape")), "/"))
+            tree = checkpoint(tree.withColumn("prefix", F.when(c("now"), rest).otherwise(c("prefix"))).withColumn("done", c("done") | F.coalesce("now", F.lit(False))).drop("shapes", "now"))
+            if not tree.where((F.size("shape") > level + 1) & ~c("done")).take(1):
+                break
     totals = tree.groupBy("host", F.col("prefix").alias("template")).agg(F.sum("n").alias("n_pages"), F.sum("lab").alias("n_labelled"), F.sum("bads").alias("n_bad"))
     return tree.select("host", "shape", F.col("prefix").alias("template")).join(totals, ["host", "template"]).select("host", "shape", "template", "n_pages", "n_labelled", "n_bad")
 

@@ -57,6 +57,16 @@ def test_templates_reject_by_purity(spark):
     assert got["http://h/one/spam"].verdict == "allow"  # one label is too little
 
 
+def test_deep_branches_are_told_apart(spark):
+    pages = [(f"http://h/a/b/c/d/e/f/{k}/{s}", int(k == "spam")) for k in ("spam", "news") for s in ("x", "y/z") for _ in range(30)]
+    pages += [("http://g/" + "q/" * 300, None), ("http://h/a/b/c/d/e/f/only/" + "r/" * 300, None)]
+    df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(pages)], "page_id long, url string, label int")
+    got = {pages[r.page_id][0]: (r.template, r.verdict) for r in filter_urls(df, [], F.col("label")).collect()}
+    assert got["http://h/a/b/c/d/e/f/spam/x"] == ("/a/b/c/d/e/f/spam/x", "block") and got["http://h/a/b/c/d/e/f/news/x"] == ("/a/b/c/d/e/f/news/x", "allow")
+    assert got["http://h/a/b/c/d/e/f/spam/y/z"] == ("/a/b/c/d/e/f/spam/y/z", "block") and got["http://h/a/b/c/d/e/f/news/y/z"][1] == "allow"
+    assert got[pages[-2][0]][0] == "/q" * 300 and got[pages[-1][0]][0] == "/a/b/c/d/e/f/only" + "/r" * 300
+
+
 def test_similar_branches_merge(spark):
     pages = [(f"http://h/{s}/{i}", i % 2) for s in ("a", "b", "c") for i in range(40)] + [(f"http://h/z/{i}", 1) for i in range(40)]
     df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(pages)], "page_id long, url string, label int")
