@@ -87,8 +87,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, *, key: str = "vec_id", embe
 
     is_query: a condition on ``key`` that names the queries among the vectors.
     Candidates are all rows of the query's dimension but those with its own id;
-    vectors that are null, or that hold null or non-finite components, and null
-    keys take no part.  Ties go to smaller ids; a repeated row counts as often as it occurs.
+    vectors that are null, or that hold null or non-finite components or one of
+    2^62 / scale or more in size (2^54 by default), and null keys take no part.  Ties go to smaller ids; a repeated row counts as often as it occurs.
     Scores beyond the range of a long are held at its ends.  Queries are taken
     in blocks of QUERY_BLOCK, each scored against all rows; a task keeps one
     approximation file at a time.  An empty table gives an empty result.
