@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from oracle import connect, same
 
 
 def brute(vectors, is_query, k):
-    held = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    held = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for i, q in sorted(set((i, tuple(q)) for i, q in held)):
         if is_query(i):
@@ -42,15 +43,26 @@ def test_odd_vectors(spark):
     assert got == expected
 
 
-def test_large_components(spark):
-    vectors = [(i, [(-1.0) ** i * 10.0 ** (i % 16), 1.0]) for i in range(40)]
+@pytest.mark.parametrize("most", [15, 19, 60, 308])
+def test_every_finite_component_takes_part(spark, most):
+    vectors = [(i, [(-1.0) ** i * 10.0 ** (most - i % 16), 1.0 + i / 7]) for i in range(40)]
     got, expected = run(spark, vectors)
     assert got == expected
+    assert {i for _, _, i, _ in got} and len(got) == 20 * 5
 
 
-def test_query_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vafile, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(vafile, "FILE_ROWS", 16)
+def test_wide_vectors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 1, 1024)
+    # Many nearly equal scores, whose order single precision cannot tell.
+    vectors = [(i, (base + rng.normal(0, 1e-3, 1024)).tolist()) for i in range(60)]
+    got, expected = run(spark, vectors)
+    assert got == expected
+
+
+def test_blocks_and_files(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(vafile, "FILE_BYTES", 16 * 64)
     rng = np.random.default_rng(4)
     got, expected = run(spark, [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(90)], k=3)
     assert got == expected
@@ -65,5 +77,5 @@ def test_empty(spark):
 def test_bounds_hold(cells):
     rng = np.random.default_rng(5)
     exact, q = rng.integers(-130, 130, (200, 16)).astype(float), rng.integers(-130, 130, (9, 16)).astype(float)
-    file = vafile.ApproximationFile(np.arange(200), exact, cells)
+    file = vafile.ApproximationFile(np.arange(200), exact, 1, cells)
     assert (file.bounds(q) >= q @ exact.T).all()
