@@ -39,6 +39,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a tokenizer file asks for that this encoder does not do; truncation, padding and post-processors are never applied."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    found = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    found += ["model type"] if model.get("type", "BPE") != "BPE" else []
+    found += ["normalizer"] if spec.get("normalizer") else []
+    found += ["pre-tokenizer"] if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) else []
+    found += ["decoder"] if (spec.get("decoder") or {}).get("type") != "ByteLevel" else []
+    return found + [f"added token {t['content']!r}" for t in spec["added_tokens"] if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
+
+
 class SegmentTree:
     """Minimum over leaves, with the leftmost leaf of the minimum."""
 
@@ -74,6 +85,8 @@ class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if unread := unsupported(spec):
+            raise ValueError(f"{path}: not a plain byte-level BPE: {', '.join(unread)}")
         alphabet = byte_alphabet()
         vocab: dict[str, int] = spec["model"]["vocab"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from entailis.llm.common import table
 
 SHARDS = 40
 PERMUTATION_KEY = 20240229
-#: The vocabulary's place on every executor.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The vocabulary, by its name among the public tokenizers, which are at the same place on every executor.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 

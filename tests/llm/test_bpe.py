@@ -1,3 +1,5 @@
+import json
+
 import random
 
 import numpy as np
@@ -57,3 +59,11 @@ def test_frame(spark, docs):
     got = {r.doc_id: (r.ids, r.decoded) for r in bpe.encode_decode(docs((1, None), (2, ""), (3, "of the"), (3, "of the"), (None, "x")).withColumnsRenamed({"lang": "ids", "source": "decoded"}), TOKENIZER).collect()}
     assert got[1] == ([], "") == got[2] and got[3][1] == "of the" and got[None][1] == "x"
     assert bpe.encode_decode(docs().limit(0), TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"decoder": {"type": "Metaspace"}}, {"added_tokens": [{"id": 0, "content": "!", "lstrip": True}]}])
+def test_other_vocabularies_are_rejected(tmp_path, change):
+    spec = json.loads(open(TOKENIZER, encoding="utf-8").read()) | change
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="not a plain byte-level BPE"):
+        bpe.ByteBPE(str(tmp_path / "t.json"))
