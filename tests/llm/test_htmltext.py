@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -33,13 +34,52 @@ def test_pages(spark, data):
 
 def test_held_out_generated_pages(model):
     wrong = total = 0
-    for page, labels in H.training_pages(200, seed=77):
-        root = H.parse(page)
+    for page in H.training_pages(200, seed=77):
+        root = H.parse(page, marks=True)
         nodes, x = H.features(root)
         H.decode(root, nodes, model.predict(x))
-        wrong += sum(n.kept != k for n, k in zip(nodes, labels, strict=True))
-        total += len(labels)
-    assert wrong / total < 0.02
+        for n in nodes:
+            if n.mark is not None:
+                wrong += n.kept != n.mark
+                total += 1
+    assert wrong / total < 0.01
+
+
+ONE = "Paragraph one has quite a few words in it, so that it reads like text. It goes on with a second sentence that is of some length, too. And then it has a third one, which is the last."
+TWO = "The second paragraph tells something else, in other words. It is as long as the first one, or nearly so, and it says nothing new. " * 2
+TWO = TWO.strip()
+LAYOUTS = [  # pages that no part of the generator writes as they are
+    (f"<body><h1>Title</h1><p>{ONE}</p><p>{TWO}</p></body>", ["Title", ONE, TWO]),
+    (f'<div><div><div id="c1"><h2>T</h2><p>{ONE}</p><p>{TWO}</p></div></div></div>', ["T", ONE, TWO]),
+    (f'<table><tr><td><a href="/">Home</a> <a href="/x">News</a></td><td><p>{ONE}</p><p>{TWO}</p></td></tr></table>', [ONE, TWO]),
+    (f"<body>{ONE}<p>{TWO}</p></body>", [ONE, TWO]),
+    (f"<body><h1>Title</h1>{ONE}<br>{TWO}<footer>&copy; 2020 Site</footer></body>", ["Title", f"{ONE} {TWO}"]),
+    (f"<body><h1>Title</h1>{ONE}<hr>{TWO}</body>", ["Title", ONE, TWO]),
+    (f'<article><p>{ONE} <span class="warning">danger text</span> {TWO}</p></article>', [f"{ONE} danger text {TWO}"]),
+    (f'<article><p>{ONE}</p><p class="x>{TWO}</p></article>', [ONE, TWO]),
+    (f"<html><body><center><font><p>{ONE}<p>{TWO}</font></center></body></html>", [ONE, TWO]),
+    (f'<div class="wrap"><div class="topbar"><a href="/">Home</a></div><div class="txt"><div>{ONE}</div><div>{TWO}</div></div><div class="copyright">&copy; 2020</div></div>', [ONE, TWO]),
+    (f"<main><section><h2>T</h2>{ONE}<ul><li>{TWO}</li></ul></section></main>", ["T", ONE, TWO]),
+]
+
+
+@pytest.mark.parametrize(("page", "lines"), LAYOUTS)
+def test_layouts_without_hints(model, page, lines):
+    assert H.extract([page], model)[0].split("\n") == lines
+
+
+HARD = [
+    *('<a "', '<a b="<"', "<a b= ", "<p class=\"", "<div>", "</a", "<!--", "<", "&", "<noscript>"),
+    "<div>" * 40_000 + "</p>", "<x-y>" * 30_000 + "<h1></h1>", "<p><td>" + "<x>" * 30_000 + "<h1></h1>", "<script></script ",
+]
+
+
+@pytest.mark.parametrize("unit", HARD, ids=[u[:12] for u in HARD])
+def test_time_is_linear(model, unit):
+    page = unit * (1_000_000 // len(unit)) if len(unit) < 100 else unit + unit[-9:] * 30_000
+    began = time.process_time()
+    out = H.extract([page], model)
+    assert time.process_time() - began < 10 and len(out[0]) <= len(page)
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body>
@@ -58,31 +98,25 @@ def test_clutter_goes(model):
 
 def test_decoding_has_no_kept_child_of_a_rejected_parent(model):
     rng = np.random.default_rng(1)
-    for page, _ in H.training_pages(20, seed=9):
+    for page in H.training_pages(20, seed=9):
         root = H.parse(page)
         nodes, _ = H.features(root)
         odds = rng.normal(0, 3, len(nodes))
         H.decode(root, nodes, odds)
         assert all(n.parent.kept for n in nodes if n.kept)
+        assert all(n.kept == (o > 0) for n, o in zip(nodes, odds, strict=True) if n.parent.kept)
 
 
-def test_decoding_is_the_most_likely(model):
-    from itertools import product
-
-    root = H.parse("<div><section><p>a</p><p>b</p></section><p>c</p></div>")
-    nodes, _ = H.features(root)
-    at = {id(n): i for i, n in enumerate(nodes)}
-    rng = np.random.default_rng(2)
-    for _ in range(50):
-        odds = rng.normal(0, 2, len(nodes))
-        H.decode(root, nodes, odds)
-        score = lambda keep: sum(-np.logaddexp(0, -o if k else o) for k, o in zip(keep, odds, strict=True))  # noqa: B023, E731
-        legal = [k for k in product([False, True], repeat=len(nodes)) if all(not kept or n.parent is root or k[at[id(n.parent)]] for n, kept in zip(nodes, k, strict=True))]
-        assert score([n.kept for n in nodes]) == pytest.approx(max(map(score, legal)))
+def test_tree():
+    root = H.parse('<ul><li>a<li>b <i>c</i></ul><p>d<p x="1>2" y=\'<\'>e<table><tr><td>f<td>g</table>h<br>i')
+    assert [n.name for n in H.nodes_of(root)] == ["ul", "li", "li", "p", "p", "table", "tr", "td", "td", "#run"]
+    for n in H.nodes_of(root):
+        n.kept = True
+    assert H.text_of(root) == "a\nb c\nd\ne\nf\ng\nh i"
 
 
 def test_odd_input(spark, model):
-    odd = [None, "", "   ", "plain text", "<p>", "</p></div>", "<" * 50, "<!-- open", "<p class='x", "<div>" * 3000 + "deep", "<p>a</p>" * 2000, "<script>only</script>", "<table><tr><td>x<td>y</table>"]
+    odd = [None, "", "   ", "plain text", "<p>", "</p></div>", "<" * 50, "<!-- open", "<p class='x>y", "<div>" * 3000 + "deep", "<p>a</p>" * 2000, "<script>only</script>", "<table><tr><td>x<td>y</table>"]
     out = H.extract(odd, model)
     assert out[0] == out[1] == out[2] == "" and out[3] == "plain text"
     df = spark.createDataFrame([(k, None, h) for k, h in enumerate(odd)], "page_id long, text string, html string")
@@ -92,5 +126,6 @@ def test_odd_input(spark, model):
 
 
 def test_training_is_repeatable(model):
-    again = H.train()
-    assert np.array_equal(again.leaf, model.leaf) and np.array_equal(again.feature, model.feature)
+    first, again = (H.train.__wrapped__(100, 3) for _ in range(2))
+    assert np.array_equal(first.leaf, again.leaf) and np.array_equal(first.feature, again.feature)
+    assert H.train() is model
