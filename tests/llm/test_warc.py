@@ -1,6 +1,9 @@
 import glob
 import gzip
 import hashlib
+import os
+import random
+import zlib
 
 import pytest
 
@@ -47,16 +50,58 @@ def test_round_trip(spark):
     assert {r.url for r in got if r.record_key == 3} == {"http://a%20b%20%20X:%20y"}
 
 
-def test_files_are_standard(spark):
-    path = warc.archive_pages(pages(spark, *ODD[:3]))
-    raw = b"".join(gzip.open(f).read() for f in sorted(glob.glob(path.removeprefix("file:") + "/part-*")))
-    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: ") and raw.endswith(b"\r\n\r\n")
-    ids = [line for line in raw.split(b"\r\n") if line.startswith(b"WARC-Record-ID: <urn:uuid:")]
-    assert len(ids) == len(set(ids)) == 3
+def standard(path):
+    """Records by id, read with nothing but the WARC and gzip formats: one member a record."""
+    out = {}
+    for f in sorted(glob.glob(path.removeprefix("file:") + "/part-*")):
+        rest = open(f, "rb").read()
+        while rest:
+            z = zlib.decompressobj(31)
+            record = z.decompress(rest)
+            assert z.eof
+            rest = z.unused_data
+            if record:
+                head, _, block = record.partition(b"\r\n\r\n")
+                version, *lines = head.decode().split("\r\n")
+                fields = dict(x.split(": ", 1) for x in lines)
+                assert version == "WARC/1.1" and len(block) == int(fields["Content-Length"]) + 4 and block.endswith(b"\r\n\r\n")
+                assert fields["WARC-Record-ID"] not in out
+                out[fields["WARC-Record-ID"]] = fields, block[:-4]
+    return out
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_files_are_standard(spark, monkeypatch, tmp_path, shuffled):
+    if shuffled:
+        monkeypatch.setattr(warc, "BROADCAST_BYTES", -1)
+    pages(spark, *ODD).repartition(3).write.parquet(str(tmp_path / "pages"))
+    records = standard(warc.archive_pages(spark.read.parquet(str(tmp_path / "pages"))))
+    assert len(records) == len(ODD)
+    dates = {f["WARC-Date"] for f, _ in records.values()}
+    assert len(dates) == 1 and dates.pop() > "2024-01-01T00:00:00Z"
+    revisits = 0
+    for f, block in records.values():
+        if f["WARC-Type"] == "revisit":
+            of, response = records[f["WARC-Refers-To"]]
+            assert of["WARC-Type"] == "response" and of["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+            assert of.get("WARC-Target-URI") == f.get("WARC-Refers-To-Target-URI") and of["WARC-Date"] == f["WARC-Refers-To-Date"]
+            assert hashlib.sha256(response.partition(b"\r\n\r\n")[2]).hexdigest() == f["WARC-Payload-Digest"].removeprefix("sha256:")
+            revisits += 1
+    assert revisits == sum(r[3] == "revisit" for r in brute(ODD)) > 3
+
+
+def test_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PIECE_BYTES", 2_000)
+    monkeypatch.setattr(warc, "FILE_PIECES", 2)
+    rng = random.Random(1)
+    path = warc.archive_pages(pages(spark, *((i, "u", "%0200x" % rng.getrandbits(2400)) for i in range(200))).coalesce(1))
+    sizes = [os.path.getsize(f) for f in glob.glob(path.removeprefix("file:") + "/part-*")]
+    assert len(sizes) > 10 and max(sizes) < 2 * (2_000 + 1_000) + 100 and len(standard(path)) == 200
 
 
 def test_many_files(spark, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_RECORDS", 5)
+    monkeypatch.setattr(warc, "FILE_PIECES", 1)
+    monkeypatch.setattr(warc, "PIECE_BYTES", 300)
     rows_ = [(i, "u", f"{BIG}{i % 9}") for i in range(60)]
     read = warc.read_archives(spark, warc.archive_pages(pages(spark, *rows_)))
     assert rows(read.select("record_key", "payload_bytes", "payload_digest", "record_type", "refers_to")) == brute(rows_)
