@@ -1,18 +1,17 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a batch of documents.  Its words form one sequence, over which an
-FM-index is built: suffix array by prefix doubling, Burrows-Wheeler transform
-in a wavelet matrix, sampled suffix positions.  All benchmark windows are
-searched backwards at once, occurrences are located by walking to sampled
-positions, and overlapping occurrences merge into removal spans.
-
-A word that no benchmark item holds cannot be part of an occurrence, so it only
-separates runs of words that some item holds; runs shorter than the shortest
-window hold none.  The index covers all other runs, whole.
+A shard is a batch of documents.  All of its words form one sequence, over which
+an FM-index is built: suffix array by prefix doubling, Burrows-Wheeler transform
+in a wavelet matrix, sampled suffix positions.  All benchmark windows of words
+that the shard has are searched backwards at once, occurrences are located by
+walking to sampled positions, and overlapping occurrences merge into removal
+spans.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,8 +22,9 @@ from entailis.llm.common import LOWER_ASCII, prepare
 WINDOW = 13
 #: Every how many text positions a suffix position is kept.
 SAMPLE = 16
-#: Benchmark text of one pass: what is sent to executors is bounded by this.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text of one block, which the driver holds at a time, and blocks that a Python worker keeps.
+BLOCK_BYTES = 8 << 20
+KEPT_BLOCKS = 16
 
 _WORD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in LOWER_ASCII)
 
@@ -149,88 +149,82 @@ def sorted_items(items: set[str | None]) -> list[str | None]:
 
 
 class Phrases:
-    """The windows of benchmark items: distinct patterns, and the items of each."""
+    """The words of benchmark items as one sequence of numbers: every window is a range of it, so nothing is larger than the texts."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.vocab: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        self.window, vocab = window, {}
         self.items = sorted_items({i for i, _ in items})
         at = {i: k for k, i in enumerate(self.items)}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[k : k + window]), set()).add(at[item])
-        rows = list(found)
-        self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.patterns = np.zeros((len(rows), window), np.int64)
-        for k, r in enumerate(rows):
-            self.patterns[k, window - len(r) :] = r
-        self.least = int(self.lengths.min()) if rows else 0
-        self.owner_ends = np.cumsum([len(found[r]) for r in rows])
-        self.owners = np.array([i for r in rows for i in sorted(found[r])], np.int64)
-
-    def scan(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-        """(number of words, merged spans of hit words, sorted items) of each text."""
+        flat, sizes, owners = [], [], []
+        for item, text in sorted({(i, t) for i, t in items}, key=repr):
+            ids = [vocab.setdefault(w, len(vocab)) for w in words(text)]
+            if ids:
+                flat.append(np.array(ids, np.int32))
+                sizes.append(len(ids))
+                owners.append(at[item])
+        self.vocab = list(vocab)
+        self.flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        self.sizes, self.owners = np.array(sizes, np.int64), np.array(owners, np.int64)
+
+    def patterns(self, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(windows of words that ids has, as its numbers, right-aligned; their lengths; the item of each)."""
+        number = np.fromiter((ids.get(w, 0) for w in self.vocab), np.int64, len(self.vocab))
+        seq = number[self.flat] if len(self.flat) else np.zeros(0, np.int64)
+        many = np.maximum(1, self.sizes - self.window + 1)  # windows of each item
+        begin = np.repeat(np.cumsum(self.sizes) - self.sizes, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        length, owner = np.repeat(np.minimum(self.sizes, self.window), many), np.repeat(self.owners, many)
+        unknown = np.r_[0, np.cumsum(seq == 0)]
+        fine = unknown[begin + length] == unknown[begin]
+        begin, length, owner = begin[fine], length[fine], owner[fine]
+        place = (begin + length)[:, None] + np.arange(-self.window, 0)
+        return np.where(place >= begin[:, None], seq[np.maximum(place, 0)], 0) if len(begin) else np.zeros((0, self.window), np.int64), length, owner
+
+
+class Shard:
+    """The index of a batch of whole texts: every word of every text, equal texts once."""
+
+    def __init__(self, texts: list[str | None]):
         docs = [words(t) for t in texts]
-        sizes = np.array([len(d) for d in docs], np.int64)
-        spans: list[list[tuple[int, int]]] = [[] for _ in docs]
-        items: list[list[str]] = [[] for _ in docs]
-        if self.least and sizes.sum():
-            same: dict[str, int] = {}
-            which = [same.setdefault(t, k) if t else k for k, t in enumerate(texts)]  # equal texts of a shard are indexed once
-            own = [k for k, w in enumerate(which) if w == k]
-            get = self.vocab.get
-            # A 0 after each text: runs end where a text does.
-            flat = np.fromiter((get(w, 0) for k in own for w in (*docs[k], b" ")), np.int64, int(sizes[own].sum()) + len(own))
-            starts = np.r_[0, np.cumsum(sizes[own] + 1)]
-            self._scan(flat, starts, own, spans, items)
-            for k, w in enumerate(which):
-                if w != k:
-                    spans[k], items[k] = spans[w], items[w]
-        return [(int(n), s, i) for n, s, i in zip(sizes, spans, items, strict=True)]
-
-    def _scan(self, flat: np.ndarray, starts: np.ndarray, own: list[int], spans: list, items: list) -> None:
-        edge = np.flatnonzero(flat == 0)
-        begin = np.r_[0, edge[:-1] + 1]
-        long = edge - begin >= self.least
-        begin, size = begin[long], (edge - begin)[long] + 1
-        if not begin.size:
-            return
-        offset = np.cumsum(size) - size
-        source = np.repeat(begin - offset, size) + np.arange(size.sum())  # place in flat of each indexed symbol
-        index = FMIndex(flat[source], len(self.vocab))
-        low, high = index.search(self.patterns, self.lengths)
+        self.sizes = np.array([len(d) for d in docs], np.int64)
+        first: dict[str, int] = {}
+        self.like = [first.setdefault(t, k) if t else k for k, t in enumerate(texts)]
+        self.own = [k for k, w in enumerate(self.like) if w == k and self.sizes[k]]
+        self.ids: dict[bytes, int] = {}
+        number, n = self.ids.setdefault, int(self.sizes[self.own].sum()) + len(self.own)
+        end = [None]
+        # A 0 after each text: no occurrence goes beyond it.
+        flat = np.fromiter((0 if w is None else number(w, len(self.ids) + 1) for k in self.own for w in (*docs[k], *end)), np.int64, n)
+        self.starts, self.length = np.r_[0, np.cumsum(self.sizes[self.own] + 1)].astype(np.int64), n
+        self.index = FMIndex(flat, len(self.ids)) if n else None
+
+    def scan(self, blocks: Iterable[Phrases]) -> list[tuple[int, list[tuple[int, int]], list[str | None]]]:
+        """(number of words, merged spans of hit words, sorted items) of each text, over all blocks of the benchmark."""
+        spans: list[list[tuple[int, int]]] = [[] for _ in self.like]
+        items: list[set[str | None]] = [set() for _ in self.like]
+        change = np.zeros(self.length + 1, np.int64)
+        for block in blocks if self.index is not None else ():
+            self._find(block, change, items)
+        covered = np.diff(np.r_[0, (np.cumsum(change[:-1]) > 0).astype(np.int8), 0])
+        first, last = np.flatnonzero(covered > 0), np.flatnonzero(covered < 0)
+        doc = np.searchsorted(self.starts, first, "right") - 1
+        for d, a, b in zip(doc.tolist(), (first - self.starts[doc]).tolist(), (last - self.starts[doc]).tolist(), strict=True):
+            spans[self.own[d]].append((a, b))
+        return [(int(n), spans[w], sorted_items(items[w])) for n, w in zip(self.sizes, self.like, strict=True)]
+
+    def _find(self, block: Phrases, change: np.ndarray, items: list[set[str | None]]) -> None:
+        patterns, lengths, owners = block.patterns(self.ids)
+        low, high = self.index.search(patterns, lengths)
         hit = np.flatnonzero(low < high)
         if not hit.size:
             return
         many = (high - low)[hit]
         rows = np.repeat(low[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        pattern = np.repeat(hit, many)
-        at = source[index.locate(rows)]
-        change = np.zeros(len(flat) + 1, np.int64)
+        pattern, at = np.repeat(hit, many), self.index.locate(rows)
         np.add.at(change, at, 1)
-        np.add.at(change, at + self.lengths[pattern], -1)
-        covered = np.diff(np.r_[0, (np.cumsum(change[:-1]) > 0).astype(np.int8), 0])
-        first, last = np.flatnonzero(covered > 0), np.flatnonzero(covered < 0)
-        doc = np.searchsorted(starts, first, "right") - 1
-        for d, a, b in zip(doc.tolist(), (first - starts[doc]).tolist(), (last - starts[doc]).tolist(), strict=True):
-            spans[own[d]].append((a, b))
-        pairs = np.unique((np.searchsorted(starts, at, "right") - 1) * len(self.patterns) + pattern)
-        for d, p in zip((pairs // len(self.patterns)).tolist(), (pairs % len(self.patterns)).tolist(), strict=True):
-            items[own[d]] += [self.items[i] for i in self.owners[(self.owner_ends[p - 1] if p else 0) : self.owner_ends[p]].tolist()]
-        for d in {own[d] for d in (pairs // len(self.patterns)).tolist()}:
-            items[d] = sorted_items(set(items[d]))
-
-
-def merge_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of two lists of half-open spans, touching ones joined."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted([*a, *b]):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+        np.add.at(change, at + lengths[pattern], -1)
+        pairs = np.unique((np.searchsorted(self.starts, at, "right") - 1) * len(block.items) + owners[pattern])
+        for d, i in zip((pairs // len(block.items)).tolist(), (pairs % len(block.items)).tolist(), strict=True):
+            items[self.own[d]].add(block.items[i])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Column:
@@ -242,55 +236,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     items without words have no window; rows with a null id are one item that
     is not in items: its windows hit as all others do, and unnamed says whether
     one occurs (op8_decontaminate counts it in n_items, as OP8_SQL does);
-    repeated items and rows count as one
-    and as often as they occur.  The benchmark is taken in blocks of about
-    block_bytes, each of which is sent to the executors and searched in turn.
+    repeated items and rows count as one and as often as they occur.
+
+    The benchmark is read in blocks of about block_bytes, one on the driver at a
+    time; each goes to the executors as an array of word numbers.  A shard is
+    indexed once and searched for every block in turn; a Python worker keeps
+    KEPT_BLOCKS of them and reads the others again from its local copy.
     """
     spark = docs.sparkSession
     prepare(spark)
     bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = bench.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    col = F.col(text).cast("string")
-    out = None
+    shared = []
     for b in range(blocks):
         held = (bench.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == b) if blocks > 1 else bench).collect()
-        shared = spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in held], window))
-        out = _scanner(shared)(col) if out is None else _rescanner(shared)(col, out)
-    return out
+        shared.append(spark.sparkContext.broadcast(Phrases([(r["item"], r["text"]) for r in held], window)))
+    return _scanner(shared)(F.col(text).cast("string"))
 
 
 _FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<string>, unnamed boolean"
 
 
-def _frame(got: list) -> pd.DataFrame:
-    return pd.DataFrame({"n_words": [n for n, _, _ in got], "spans": [[{"start": a, "end": e} for a, e in s] for _, s, _ in got], "items": [[x for x in i if x is not None] for _, _, i in got], "unnamed": [None in i for _, _, i in got]})
+def _in_turn(shared: list) -> Iterator[Phrases]:
+    for k, block in enumerate(shared):
+        yield block.value
+        if k >= KEPT_BLOCKS:
+            block.__dict__.pop("_value", None)  # read again when it is next asked for
 
 
-def _texts(texts: pd.Series) -> list[str | None]:
-    return [t if isinstance(t, str) else None for t in texts]
-
-
-def _scanner(shared):
+def _scanner(shared: list):
     @F.pandas_udf(_FOUND)
     def scan(texts: pd.Series) -> pd.DataFrame:
-        return _frame(shared.value.scan(_texts(texts)))
+        got = Shard([t if isinstance(t, str) else None for t in texts]).scan(_in_turn(shared))
+        return pd.DataFrame({"n_words": [n for n, _, _ in got], "spans": [[{"start": a, "end": e} for a, e in s] for _, s, _ in got], "items": [[x for x in i if x is not None] for _, _, i in got], "unnamed": [None in i for _, _, i in got]})
 
     return scan
 
 
-def _rescanner(shared):
-    """As a scanner, on top of what was found for earlier blocks of the benchmark."""
-
-    @F.pandas_udf(_FOUND)
-    def rescan(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
-        got = shared.value.scan(_texts(texts))
-        spans = [[(x["start"], x["end"]) for x in s] for s in before["spans"]]
-        return _frame([(n, merge_spans(s, s0), sorted_items({*i, *i0, *([None] if u0 else [])})) for (n, s, i), s0, i0, u0 in zip(got, spans, before["items"], before["unnamed"], strict=True)])
-
-    return rescan
-
-
 def n_hit(found: str) -> Column:
     """The number of hit words of a column made by contamination()."""
     return F.aggregate(F.col(f"{found}.spans"), F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])

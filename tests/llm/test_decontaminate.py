@@ -67,7 +67,9 @@ def test_against_brute_force():
         items = [(str(k % 4), rng.choice([text(8), None, "", "zz"])) for k in range(6)]
         texts = [rng.choice([text(40), None, "", "...", "x y", text(6)]) for _ in range(8)]
         texts += texts[:2]
-        assert plain(D.Phrases(items, window).scan(texts)) == brute(texts, items, window)
+        for n in (1, 3):  # blocks
+            blocks = [D.Phrases(items[k::n], window) for k in range(n)]
+            assert plain(D.Shard(texts).scan(blocks)) == brute(texts, items, window)
 
 
 def test_words():
@@ -115,5 +117,11 @@ def test_blocks_of_the_benchmark(spark, docs):
 
 def test_long_repeated_text():
     t = "a b " * 5000
-    n, s, i = D.Phrases([("1", "a b a")], 13).scan([t])[0]
+    n, s, i = D.Shard([t]).scan([D.Phrases([("1", "a b a")], 13)])[0]
     assert (n, s, i) == (10_000, [(0, 9_999)], ["1"])
+
+
+def test_the_whole_shard_is_indexed():
+    shard = D.Shard(["one two three", "", None, "four one five", "one two three"])
+    assert shard.index.n == 3 + 3 + 2 and set(shard.ids) == {b"one", b"two", b"three", b"four", b"five"}
+    assert D.Shard([None, ""]).scan([D.Phrases([("1", "a")])]) == [(0, [], []), (0, [], [])]
