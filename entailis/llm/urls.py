@@ -19,6 +19,8 @@ from entailis.llm.common import ascii_lower, checkpoint
 
 #: Levels that the SQL of the tree writes out; the tree itself is as deep as the paths are.
 LEVELS = 6
+#: Parts into which the branches of one prefix, and the shapes of one branch, are dealt in joins.
+SALTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -58,6 +60,10 @@ def _shape(path: Column) -> Column:
     )
 
 
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
 def path_templates(
     pages: DataFrame, bad: Column, host: str = "host", path: str = "path", *, variable_children: int = 20, variable_top: float = 0.5, merge_z: float = 1.96, merge_support: int = 20
 ) -> DataFrame:
@@ -84,7 +90,9 @@ def path_templates(
         parent = child.groupBy("host", "prefix").agg(
             F.count(F.lit(1)).alias("children"), F.max("n").alias("top"), F.sum("n").alias("pn"), F.sum("lab").alias("plab"), F.sum("bads").alias("pbads"), F.sum("leaves").alias("pleaves")
         )
-        both = child.join(parent, ["host", "prefix"])
+        # A host may have millions of segments below one prefix, and a segment as many shapes: both joins deal them by a salt.
+        spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        both = child.withColumn("salt", _salt("seg")).join(parent.select("*", spread), ["host", "prefix", "salt"])
 
         def near(hits: Column, of: Column, all_hits: Column, all_of: Column) -> Column:
             rate = F.try_divide(all_hits, all_of)
@@ -94,8 +102,8 @@ def path_templates(
         merged = (c("children") > 1) & near(c("bads"), c("lab"), c("pbads"), c("plab")) & near(c("leaves"), c("n"), c("pleaves"), c("pn"))
         variable = (c("children") >= variable_children) & (c("top") < variable_top * c("pn"))
         step = both.select("host", "prefix", "seg", F.when(variable, F.lit("*")).when(F.coalesce(merged, F.lit(False)), F.lit("+")).otherwise(c("seg")).alias("token"))
-        tree = tree.withColumn("seg", F.coalesce(seg, F.lit(""))).join(step, ["host", "prefix", "seg"], "left")
-        tree = checkpoint(tree.withColumn("prefix", F.when(c("token").isNotNull(), F.concat("prefix", F.lit("/"), "token")).otherwise(c("prefix"))).drop("seg", "token"))
+        tree = tree.withColumn("seg", F.coalesce(seg, F.lit(""))).withColumn("salt", _salt("shape")).join(step.select("*", spread), ["host", "prefix", "seg", "salt"], "left")
+        tree = checkpoint(tree.withColumn("prefix", F.when(c("token").isNotNull(), F.concat("prefix", F.lit("/"), "token")).otherwise(c("prefix"))).drop("seg", "token", "salt"))
         if not tree.where((F.size("shape") > level + 1) & ~c("done")).take(1):
             break
         if settles:
