@@ -41,7 +41,9 @@ LEAST_EQUAL = 0.55
 #: Edges of a graph that one task handles in a round.
 EDGES_A_TASK = 200_000
 #: Classes on either side of one comparison in a task.
-BLOCK = 256
+BLOCK = 96
+#: Classes up to which their keys go to every executor to pick the texts that are read again; beyond, texts are shuffled.
+BROADCAST_CLASSES = 1_000_000
 
 _SPACES = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in LOWER_ASCII)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -135,8 +137,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for t in batch["text"]:
             s = shingles(t)
-            d = xxhash.xxh3_128_intdigest(s.tobytes())
-            rows.append((np.uint64(d & (2**64 - 1)).astype(np.int64), np.uint64(d >> 64).astype(np.int64), len(s), registers(s).tobytes() if len(s) else None))
+            rows.append((*_digest(s), len(s), registers(s).tobytes() if len(s) else None))
         out = pd.DataFrame(rows, columns=["h1", "h2", "n", "regs"])
         out.insert(0, "key", batch["key"].array)
         yield out
@@ -219,43 +220,36 @@ def _open_components(members: DataFrame, components: DataFrame, sketches: DataFr
     sizes = checkpoint(components.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     placed = components.join(sizes, "component")
     at = members.select("band", "node").join(placed, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
-    mixed = at.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
-    mixed = checkpoint(mixed.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rest = at.join(mixed, "band").join(sketches, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = at.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = held.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    count = lambda m: F.ceil(m / BLOCK).cast("int")
+    # Only what is not of a bucket's largest component meets the bucket: a stray class costs a pass, not all pairs.
+    mixed = checkpoint(mixed.select("band", F.col("most.comp").alias("largest"), count(F.col("m") - F.col("most.m")).alias("ps"), count(F.col("m")).alias("qs")))
+    rest = at.join(mixed, "band")
     keys = ["band", "p", "q"]
-    rest = rest.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "comp", "size", "n", "regs")
+    own, every = (lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int").alias(of[0])), (lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias(of[0]))
+    cols = ["band", "node", "comp", "size"]
+    few = rest.where("comp <> largest").select(*cols, F.lit(0).alias("side"), own("ps"), every("qs"))
+    all_ = rest.select(*cols, F.lit(1).alias("side"), own("qs"), every("ps")).select(*cols, "side", "p", "q")
+    dealt = few.unionByName(all_).join(sketches.select("node", "n", "regs"), "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _groups(batches, keys):
-            starts, ends = _bounds(rows, keys)
             regs = _regs(rows["regs"])
-            n, comp, own, node, size, p, q = (rows[c].to_numpy() for c in ("n", "comp", "own", "node", "size", "p", "q"))
-            for i, j in _group_pairs(starts, ends):
-                apart = (comp[i] != comp[j]) & ((own[i] != own[j]) | (p[i] == q[i]))
+            n, comp, node, size, side = (rows[c].to_numpy() for c in ("n", "comp", "node", "size", "side"))
+            for s, e in zip(*(x.tolist() for x in _bounds(rows, keys)), strict=True):
+                middle = s + int((side[s:e] == 0).sum())
+                i, j = (x.ravel() for x in np.meshgrid(np.arange(s, middle), np.arange(middle, e), indexing="ij"))
+                apart = comp[i] != comp[j]
                 i, j = i[apart], j[apart]
                 near = estimates(regs[i], regs[j], n[i], n[j]) >= LEAST_ESTIMATE
                 i, j = i[near], j[near]
                 swap = (size[i] > size[j]) | ((size[i] == size[j]) & (comp[i] < comp[j]))
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pd.DataFrame({"g": comp[j], "node": node[i]}).drop_duplicates()
-
-    return checkpoint(rest.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(compare, "g long, node long").distinct())
+                if len(i):
+                    yield pd.DataFrame({"g": comp[j], "node": node[i]}).drop_duplicates()
 
-
-def _group_pairs(starts: np.ndarray, ends: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows within groups, about ``most`` at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        i, j = np.triu_indices(e - s, 1)
-        held.append((i + s, j + s))
-        size += len(i)
-        if size >= most:
-            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            held, size = [], 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+    return checkpoint(dealt.repartition(*keys).sortWithinPartitions(*keys, "side").mapInPandas(compare, "g long, node long").distinct())
 
 
 def _links(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
@@ -299,8 +293,31 @@ def _links(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sets of classes from the texts of their smallest keys; a key's other texts are passed over."""
     for batch in batches:
-        yield batch[["node", "n", "regs"]].assign(items=[shingles(t).tobytes() for t in batch["text"]])
+        rows = []
+        for node, h1, h2, t in zip(batch["node"], batch["h1"], batch["h2"], batch["text"], strict=True):
+            items = shingles(t)
+            if _digest(items) == (h1, h2):
+                rows.append((node, len(items), registers(items).tobytes(), items.tobytes()))
+        yield pd.DataFrame(rows, columns=["node", "n", "regs", "items"])
+
+
+def _digest(items: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(items.tobytes())
+    return tuple(np.array([d & (2**64 - 1), d >> 64], np.uint64).astype(np.int64).tolist())
+
+
+def _one_text_a_key(feats: DataFrame) -> DataFrame:
+    """feats with a column own: of a key's different texts the one of the smallest digest stands for all, whose rows get its class."""
+    digest = F.struct("h1", "h2")
+    texts = feats.where("key is not null").groupBy("key").agg(F.min(digest).alias("m"), F.max(digest).alias("x"))
+    several = checkpoint(texts.where("m <> x").select("key", "m"))
+    if several.isEmpty():
+        return feats.withColumn("own", F.lit(True))
+    known = feats.join(several, "key", "left")
+    own = F.col("m").isNull() | (F.col("m") == digest)
+    return checkpoint(known.select("key", F.coalesce("m.h1", "h1").alias("h1"), F.coalesce("m.h2", "h2").alias("h2"), "n", "regs", own.alias("own")))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,14 +327,17 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     kept: whether it is the own key.  Texts without words (null, empty, blank)
     have an empty set and are linked with nothing.  A row without a key cannot
     be linked: its component is null and it is kept.  Rows that share a key
-    count as one document; equal rows all come back.  Keys are integers.  Only
+    count as one document, whose text is, if they differ, the one whose set has
+    the smallest digest; all rows come back, each with its own n_shingles and
+    with the document's component.  Keys are integers.  Only
     key and text are read.  No limit holds on members of a group or a bucket.
     """
     spark = docs.sparkSession
     prepare(spark)
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     feats = checkpoint(source.mapInPandas(_features, "key long, h1 long, h2 long, n long, regs binary"))
-    classes = feats.where("n > 0 and key is not null").groupBy("h1", "h2").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    feats = _one_text_a_key(feats)
+    classes = feats.where("own and n > 0 and key is not null").groupBy("h1", "h2").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = checkpoint(classes)
     width = 2 * BAND_ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width))))
@@ -325,11 +345,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     shared = checkpoint(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
     members = checkpoint(banded.join(shared, "band"))
     release(spark)
-    sketches = checkpoint(classes.select("node", "n", "regs").join(members.select("node").distinct(), "node", "left_semi"))
-    # The only step that moves texts: those of classes that share a bucket with another.
-    texts = source.select(F.col("key").alias("node"), "text").where("node is not null")
-    sets = texts.join(sketches, "node").select("node", "n", "regs", "text").dropDuplicates(["node"]).mapInPandas(_sets, "node long, n long, regs binary, items binary")
-    sets = checkpoint(sets)
+    sketches = checkpoint(classes.select("node", "h1", "h2", "n", "regs").join(members.select("node").distinct(), "node", "left_semi"))
+    # Texts are read a second time for the classes that share a bucket with another.
+    wanted = sketches.select("node", "h1", "h2")
+    wanted = F.broadcast(wanted) if sketches.count() <= BROADCAST_CLASSES else wanted
+    texts = source.select(F.col("key").alias("node"), "text").where("node is not null").join(wanted, "node").select("node", "h1", "h2", "text")
+    sets = checkpoint(texts.mapInPandas(_sets, "node long, n long, regs binary, items binary"))
+    if sets.count() > sketches.count():  # rows that occur more than once
+        sets = checkpoint(sets.dropDuplicates(["node"]))
     release(spark)
     pivots = _best_pivots(members, sketches)
     edges = _links(pivots.select("g", F.col("g").alias("node")).distinct(), pivots, sets)

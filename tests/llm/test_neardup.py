@@ -81,6 +81,31 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_one_key_of_several_texts(spark):
+    rng = random.Random(2)
+    a, b, c = (" ".join(f"{x}{rng.randint(0, 99)}" for _ in range(30)) for x in "abc")
+    docs = [(5, a), (5, b), (3, a), (4, b), (6, c), (6, c), (7, c + " more"), (5, c)]
+    first = min((a, b, c), key=lambda t: N._digest(N.shingles(t)))
+    ties = {a: 3, b: 4, c: 5}  # the smallest key of the text that stands for 5
+    expected = []
+    for k, t in docs:
+        of = first if k == 5 else a if k == 3 else b if k == 4 else c
+        component = ties[of] if of == first else {a: 3, b: 4, c: 6}[of]
+        expected.append((k, len(shingle_set(t)), component, component == k))
+    assert run(spark, docs) == run(spark, docs[::-1]) == sorted(expected, key=repr)
+
+
+def test_strays_in_a_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "BROADCAST_CLASSES", -1)
+    rng = random.Random(12)
+    texts = near_copies(rng, 60, 80, 4)
+    middle = texts[0].split()
+    texts += [" ".join(middle[:60] + [f"s{k}_{i}" for i in range(20)]) for k in range(6)]  # share bands now and then
+    docs = list(enumerate(texts))
+    assert run(spark, docs) == brute(docs)
+
+
 def test_small_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 4)
     monkeypatch.setattr(N, "EDGES_A_TASK", 5)
