@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entailis.plans.shared import checkpoint, release, shared_dir, ship_package
+from entailis.plans.shared import checkpoint, release, remove, shared_dir, ship_package
 
-__all__ = ["LOWER_ASCII", "UPPER", "ascii_lower", "checkpoint", "prepare", "release", "shared_dir", "table"]
+__all__ = ["LOWER_ASCII", "UPPER", "ascii_lower", "checkpoint", "prepare", "release", "remove", "shared_dir", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z and nothing else.

@@ -62,6 +62,8 @@ class MixtureModel:
         pooled = pooled / pooled.sum() * len(pooled) * SMOOTHING
         smoothed = counts + pooled
         self.p = (smoothed / smoothed.sum(1, keepdims=True)).T.astype(np.float64).copy()  # bucket x language
+        #: Mean log likelihood of a trigram in each language, of random ones and of its own.
+        self.random, self.typical = np.log(self.p).mean(0), (self.p * np.log(self.p)).sum(0)
 
     @staticmethod
     def _fit(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
@@ -78,9 +80,13 @@ class MixtureModel:
 
     def infer(self, text: str | None) -> list[tuple[str, float]]:
         """The document's languages with their proportions, largest first; empty for null and for texts without letters."""
+        return self.mixture(text)[0]
+
+    def mixture(self, text: str | None) -> tuple[list[tuple[str, float]], float]:
+        """(languages with proportions as of infer, how well they explain the text: 0 as random trigrams, 1 as their own on the average)."""
         grams = trigrams(text) if text and self.langs else ()
         if not len(grams):
-            return []
+            return [], 0.0
         counts = np.bincount(grams, minlength=1 << BUCKETS_LOG2)
         seen = np.flatnonzero(counts)
         p, n = self.p[seen], counts[seen].astype(np.float64)
@@ -88,14 +94,16 @@ class MixtureModel:
         singles = n @ np.log(p)
         order = [int(np.argmax(singles))]
         order += [int(i) for i in np.argsort(-share, kind="stable") if i != order[0] and share[i] >= LEAST_SHARE]
-        best, best_score = (order[:1], np.ones(1)), float(singles[order[0]])
+        best, best_score, likely = (order[:1], np.ones(1)), float(singles[order[0]]), float(singles[order[0]])
         for m in range(2, len(order) + 1):
             own, fit = self._fit(p[:, order[:m]], n)
             score = fit - PENALTY / 2 * (m - 1) * np.log(n.sum() + 1)
             if score <= best_score:
                 break
-            best, best_score = (order[:m], own), score
-        return sorted(((self.langs[i], float(s)) for i, s in zip(*best, strict=True)), key=lambda x: (-x[1], x[0]))
+            best, best_score, likely = (order[:m], own), score, fit
+        found = sorted(((self.langs[i], float(s)) for i, s in zip(*best, strict=True)), key=lambda x: (-x[1], x[0]))
+        low, high = (float(x[best[0]] @ best[1]) for x in (self.random, self.typical))
+        return found, float((likely / n.sum() - low) / max(high - low, 1e-9))
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> MixtureModel:
@@ -136,23 +144,26 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
 
 
 def language(docs: DataFrame, model: MixtureModel, text: str = "text") -> Column:
-    """A column struct(lang_pred, score, langs, shares) for the whole texts of docs.
+    """A column struct(lang_pred, score, langs, shares, fit) for the whole texts of docs.
 
     lang_pred: the language of the largest proportion, ``und`` if the text is
-    null or has no letter; score: that proportion, 0 for ``und``.  Ties go to
-    the first language in order.  The model is as large as its languages, not the data.
+    null or has no letter; score: that proportion, 0 for ``und``; fit: how
+    well the whole mixture explains the text, about 0 where it does no better
+    than for random letters, about 1 for ordinary texts, 0 for ``und``.  Ties go to the first language in order.  The model is as large as its languages, not the data.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, langs array<string>, shares array<double>")
+    @F.pandas_udf("lang_pred string, score double, langs array<string>, shares array<double>, fit double")
     def infer(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.infer(t) for t in texts]
+        both = [shared.value.mixture(t) for t in texts]
+        found = [x for x, _ in both]
         return pd.DataFrame({
             "lang_pred": [x[0][0] if x else UNDETERMINED for x in found],
             "score": [min(1.0, x[0][1]) if x else 0.0 for x in found],
             "langs": [[k for k, _ in x] for x in found],
             "shares": [[s for _, s in x] for x in found],
+            "fit": [g for _, g in both],
         })
 
     return infer(F.col(text).cast("string"))

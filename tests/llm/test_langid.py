@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from entailis.llm import langid
@@ -24,6 +26,68 @@ def test_mixtures_are_found(spark):
     assert [k for k, _ in model.infer(texts["fr"][0])] == ["fr"]
 
 
+def plain_mixture(model, text):
+    """Mixture inference letter by letter, with dictionaries: sets of the leading languages, each fitted by expectation-maximisation."""
+    words = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    while "  " in words:
+        words = words.replace("  ", " ")
+    counts = {}
+    for i in range(len(words) - 2):
+        b = int(langid.trigrams(words[i : i + 3].strip() if words[i] == " " or words[i + 2] == " " else words[i : i + 3])[{(True, False): 0, (False, True): -1, (True, True): 0, (False, False): 1}[words[i] == " ", words[i + 2] == " "]]) if words[i + 1] != " " else None
+        b = between(words[i], words[i + 2]) if b is None else b
+        counts[b] = counts.get(b, 0) + 1
+    total = sum(counts.values())
+
+    def fit(of):
+        share = {k: 1 / len(of) for k in of}
+        for _ in range(langid.ITERATIONS):
+            new = dict.fromkeys(of, 0.0)
+            for b, n in counts.items():
+                whole = sum(share[k] * model.p[b, k] for k in of)
+                for k in of:
+                    new[k] += n * share[k] * model.p[b, k] / whole / total
+            done = max(abs(new[k] - share[k]) for k in of) < 1e-4
+            share = new
+            if done:
+                break
+        return share, sum(n * math.log(sum(share[k] * model.p[b, k] for k in of)) for b, n in counts.items())
+
+    everyone = range(len(model.langs))
+    share, _ = fit(everyone)
+    first = max(everyone, key=lambda k: (sum(n * math.log(model.p[b, k]) for b, n in counts.items()), -k))
+    order = [first] + sorted((k for k in everyone if k != first and share[k] >= langid.LEAST_SHARE), key=lambda k: (-share[k], k))
+    best, score = fit(order[:1])
+    for m in range(2, len(order) + 1):
+        own, likely = fit(order[:m])
+        likely -= langid.PENALTY / 2 * (m - 1) * math.log(total + 1)
+        if likely <= score:
+            break
+        best, score = own, likely
+    return {model.langs[k]: s for k, s in best.items()}
+
+
+def between(a, c):
+    """The bucket of the trigram of two words' ends."""
+    return int(langid.trigrams(f"{a} {c}")[1])
+
+
+def test_against_a_plain_mixture(documents):
+    model = langid.train(documents)
+    rows = [r.text for r in documents.where("length(text) between 40 and 400").orderBy("doc_id").limit(12).collect()]
+    for text in rows + [rows[k] + " " + rows[k + 1] for k in range(0, 10, 2)]:
+        found, plain = dict(model.infer(text)), plain_mixture(model, text)
+        assert found.keys() == plain.keys() and all(abs(found[k] - plain[k]) < 1e-6 for k in plain)
+
+
+def test_several_languages_are_likely_and_others_are_not(documents):
+    model = langid.train(documents)
+    pure = {k: [t for (t,) in documents.where(f"lang = '{k}' and length(text) > 1500").orderBy("doc_id").select("text").collect() if [x for x, _ in model.infer(t)] == [k]] for k in ("en", "fr", "de")}
+    found, well = model.mixture("\n".join(" ".join(t)[:5000] for t in pure.values()))
+    assert {k for k, _ in found} == {"en", "fr", "de"} and found[0][1] < 0.5 and well > 0.8
+    assert all(model.mixture(t)[1] < 0.2 for t in ("xqzvk wkjq zzxq qqwx vvkq jjxz", "字字 漢語 文章", "Привет мир, это текст"))
+    assert model.mixture(None) == ([], 0.0)
+
+
 def test_likelihood_rises(spark, documents):
     model = langid.train(documents)
     p, n = model.p[:200], np.arange(1.0, 201.0)

@@ -32,7 +32,7 @@ def test_shape(stages):
 def test_language_stage_keeps_clean_documents(spark, stages):
     before, after = stages[0], stages[1]
     model = langid.train(langid.training_rows(spark.read.parquet(f"{FOLDER}/documents.parquet")))
-    assert {r.doc_id for r in after} == {r.doc_id for r in before if (x := model.infer(r.text)) and x[0][1] >= 0.5}
+    assert {r.doc_id for r in after} == {r.doc_id for r in before if (x := model.mixture(r.text))[0] and x[1] >= corpus_pipeline.LEAST_FIT}
     assert len(after) >= 0.99 * len(before)
 
 
