@@ -40,8 +40,8 @@ LEAST_ESTIMATE = 0.60
 LEAST_EQUAL = 0.55
 #: Edges of a graph that one task handles in a round.
 EDGES_A_TASK = 200_000
-#: Classes on either side of one comparison in a task.
-BLOCK = 96
+#: Classes on either side of one comparison in a task, of their sets and of their sketches.
+BLOCK, SKETCH_BLOCK = 256, 1024
 #: Classes up to which their keys go to every executor to pick the texts that are read again; beyond, texts are shuffled.
 BROADCAST_CLASSES = 1_000_000
 
@@ -222,36 +222,53 @@ def _open_components(members: DataFrame, components: DataFrame, sketches: DataFr
     at = members.select("band", "node").join(placed, "node", "left").select("band", "node", F.coalesce("component", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
     held = at.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m"))
     mixed = held.groupBy("band").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    count = lambda m: F.ceil(m / BLOCK).cast("int")
+    count = lambda m: F.ceil(m / SKETCH_BLOCK).cast("int")
     # Only what is not of a bucket's largest component meets the bucket: a stray class costs a pass, not all pairs.
     mixed = checkpoint(mixed.select("band", F.col("most.comp").alias("largest"), count(F.col("m") - F.col("most.m")).alias("ps"), count(F.col("m")).alias("qs")))
-    rest = at.join(mixed, "band")
+    rest = at.join(mixed, "band").withColumn("main", F.col("comp") == F.col("largest"))
     keys = ["band", "p", "q"]
-    own, every = (lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int").alias(of[0])), (lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias(of[0]))
-    cols = ["band", "node", "comp", "size"]
-    few = rest.where("comp <> largest").select(*cols, F.lit(0).alias("side"), own("ps"), every("qs"))
-    all_ = rest.select(*cols, F.lit(1).alias("side"), own("qs"), every("ps")).select(*cols, "side", "p", "q")
-    dealt = few.unionByName(all_).join(sketches.select("node", "n", "regs"), "node")
+    own, every = (lambda of: F.array(F.pmod(F.xxhash64("node"), F.col(of)).cast("int"))), (lambda of: F.sequence(F.lit(0), F.col(of) - 1))
+    # A bucket of one block is sent once (side 2); of others the few are side 0, and all of them side 1.
+    sides = F.when(F.col("qs") == 1, F.array(F.lit(2))).when(F.col("main"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1)))
+    dealt = rest.withColumn("side", F.explode(sides))
+    few = F.col("side") == 0
+    dealt = dealt.withColumn("p", F.explode(F.when(few, own("ps")).otherwise(every("ps")))).withColumn("q", F.explode(F.when(few, every("qs")).otherwise(own("qs"))))
+    dealt = dealt.select(*keys, "side", "main", "node", "comp", "size").join(sketches.select("node", "n", "regs"), "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _groups(batches, keys):
             regs = _regs(rows["regs"])
-            n, comp, node, size, side = (rows[c].to_numpy() for c in ("n", "comp", "node", "size", "side"))
-            for s, e in zip(*(x.tolist() for x in _bounds(rows, keys)), strict=True):
-                middle = s + int((side[s:e] == 0).sum())
-                i, j = (x.ravel() for x in np.meshgrid(np.arange(s, middle), np.arange(middle, e), indexing="ij"))
-                apart = comp[i] != comp[j]
+            n, comp, node, size, side, main = (rows[c].to_numpy() for c in ("n", "comp", "node", "size", "side", "main"))
+            for i, j in _across(*_bounds(rows, keys), side, main):
+                apart = (comp[i] != comp[j]) & (main[j] | (node[i] < node[j]))
                 i, j = i[apart], j[apart]
                 near = estimates(regs[i], regs[j], n[i], n[j]) >= LEAST_ESTIMATE
                 i, j = i[near], j[near]
                 swap = (size[i] > size[j]) | ((size[i] == size[j]) & (comp[i] < comp[j]))
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                if len(i):
-                    yield pd.DataFrame({"g": comp[j], "node": node[i]}).drop_duplicates()
+                yield pd.DataFrame({"g": comp[j], "node": node[i]}).drop_duplicates()
 
     return checkpoint(dealt.repartition(*keys).sortWithinPartitions(*keys, "side").mapInPandas(compare, "g long, node long").distinct())
 
 
+def _across(starts: np.ndarray, ends: np.ndarray, side: np.ndarray, main: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the few and all rows of each block, about ``most`` at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        at = np.arange(s, e)
+        few, all_ = (at[~main[s:e]], at) if side[s] == 2 else (at[side[s:e] == 0], at[side[s:e] == 1])
+        for k in range(0, len(few), max(1, most // max(1, len(all_)))):
+            part = few[k : k + max(1, most // max(1, len(all_)))]
+            held.append((np.repeat(part, len(all_)), np.tile(all_, len(part))))
+            n += len(part) * len(all_)
+            if n >= most:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _links(left: DataFrame, right: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between classes of right and of left in the same group g, at least one for each that has any.
 

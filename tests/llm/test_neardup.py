@@ -97,6 +97,7 @@ def test_one_key_of_several_texts(spark):
 
 def test_strays_in_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "SKETCH_BLOCK", 16)
     monkeypatch.setattr(N, "BROADCAST_CLASSES", -1)
     rng = random.Random(12)
     texts = near_copies(rng, 60, 80, 4)
@@ -108,6 +109,7 @@ def test_strays_in_a_large_bucket(spark, monkeypatch):
 
 def test_small_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "SKETCH_BLOCK", 3)
     monkeypatch.setattr(N, "EDGES_A_TASK", 5)
     rng = random.Random(9)
     docs = list(enumerate(near_copies(rng, 50, 60, 9)))
